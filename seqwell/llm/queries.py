@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqwell.llm.ngram_join import components
+
+    return components(table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqwell.llm.line_dedup import site_line_dedup
 
@@ -56,5 +62,5 @@ whole AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || tex
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars FROM whole
 """
 
-QUERIES = {"op6_line_dedup": op6_line_dedup, "op10_chat_format": op10_chat_format}
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op6_line_dedup": op6_line_dedup, "op10_chat_format": op10_chat_format}
 ORACLES = {"op6_line_dedup": OP6_SQL, "op10_chat_format": OP10_SQL}
