@@ -36,6 +36,38 @@ SELECT doc_id, CASE WHEN cut THEN coalesce(array_to_string(kept, chr(10)), '') E
 """
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqwell.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = fit(docs, table(spark, sf_dir, "labels"), usable=~held_out)
+    return score(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqwell.llm.decontaminate import hits, n_hit
+
+    found = hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    return found.select("doc_id", "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (n_hit() > 0).alias("contaminated"))
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT k FROM win),
+spots AS (SELECT doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') AS g FROM (SELECT doc_id, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM d CROSS JOIN sizes)),
+met AS (SELECT doc_id, s.k, i, item_id FROM spots s JOIN win ON s.k = win.k AND s.g = win.g),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM met) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM met) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqwell.llm.chat import digests, prefix_targets
 
@@ -62,5 +94,5 @@ whole AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || tex
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars FROM whole
 """
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op6_line_dedup": op6_line_dedup, "op10_chat_format": op10_chat_format}
-ORACLES = {"op6_line_dedup": OP6_SQL, "op10_chat_format": OP10_SQL}
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op6_line_dedup": op6_line_dedup, "op8_toxicity": op8_toxicity, "op9_decontaminate": op9_decontaminate, "op10_chat_format": op10_chat_format}
+ORACLES = {"op6_line_dedup": OP6_SQL, "op9_decontaminate": OP9_SQL, "op10_chat_format": OP10_SQL}
