@@ -16,6 +16,15 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqwell.llm.langid import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = fit(docs, usable=~held_out)
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqwell.llm.line_dedup import site_line_dedup
 
@@ -94,5 +103,5 @@ whole AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || tex
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars FROM whole
 """
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op6_line_dedup": op6_line_dedup, "op8_toxicity": op8_toxicity, "op9_decontaminate": op9_decontaminate, "op10_chat_format": op10_chat_format}
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op5_language_id": op5_language_id, "op6_line_dedup": op6_line_dedup, "op8_toxicity": op8_toxicity, "op9_decontaminate": op9_decontaminate, "op10_chat_format": op10_chat_format}
 ORACLES = {"op6_line_dedup": OP6_SQL, "op9_decontaminate": OP9_SQL, "op10_chat_format": OP10_SQL}
