@@ -45,6 +45,12 @@ SELECT doc_id, CASE WHEN cut THEN coalesce(array_to_string(kept, chr(10)), '') E
 """
 
 
+def op7_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqwell.llm.fertility import measure
+
+    return measure(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqwell.llm.toxicity import fit, score
 
@@ -103,5 +109,5 @@ whole AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || tex
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars FROM whole
 """
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op5_language_id": op5_language_id, "op6_line_dedup": op6_line_dedup, "op8_toxicity": op8_toxicity, "op9_decontaminate": op9_decontaminate, "op10_chat_format": op10_chat_format}
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op5_language_id": op5_language_id, "op6_line_dedup": op6_line_dedup, "op7_fertility": op7_fertility, "op8_toxicity": op8_toxicity, "op9_decontaminate": op9_decontaminate, "op10_chat_format": op10_chat_format}
 ORACLES = {"op6_line_dedup": OP6_SQL, "op9_decontaminate": OP9_SQL, "op10_chat_format": OP10_SQL}
