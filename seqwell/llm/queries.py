@@ -33,6 +33,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqwell.llm.pii import pseudonymised
+
+    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), "a key for these queries only")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqwell.llm.langid import fit, identify
 
@@ -126,5 +132,5 @@ whole AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || tex
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars FROM whole
 """
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_url_filter": op2_url_filter, "op3_byte_bpe": op3_byte_bpe, "op5_language_id": op5_language_id, "op6_line_dedup": op6_line_dedup, "op7_fertility": op7_fertility, "op8_toxicity": op8_toxicity, "op9_decontaminate": op9_decontaminate, "op10_chat_format": op10_chat_format}
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_url_filter": op2_url_filter, "op3_byte_bpe": op3_byte_bpe, "op4_pii": op4_pii, "op5_language_id": op5_language_id, "op6_line_dedup": op6_line_dedup, "op7_fertility": op7_fertility, "op8_toxicity": op8_toxicity, "op9_decontaminate": op9_decontaminate, "op10_chat_format": op10_chat_format}
 ORACLES = {"op6_line_dedup": OP6_SQL, "op9_decontaminate": OP9_SQL, "op10_chat_format": OP10_SQL}
