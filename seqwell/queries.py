@@ -1,15 +1,432 @@
-"""Queries over the driver's tables and the SQL that each is held against."""
+"""Queries over the driver's tables and the SQL that each is held against.
+
+`events` by event_id, `orders` by o_orderkey, `embeddings` by vec_id and `documents` by doc_id are sequences: their keys are
+0 to n - 1. Every query runs over its whole table and returns its whole result with positions.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqwell.functions import literals, scalar, types
+from seqwell.operators import accessors, ingest, positions
+from seqwell.operators.positions import ELEM, POS
+from seqwell.plans import language
+from seqwell.sources import bytes as byte_view
+from seqwell.sources.store import Store
+from seqwell.sources.workspace import workspace
+from seqwell.streaming import streams
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLES[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias(POS), F.col("value").alias(ELEM))
+
+
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    record = F.struct(F.col("o_custkey").alias("cust"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias(POS), record.alias(ELEM))
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias(POS), F.col("embedding").alias(ELEM))
+
+
+def prices(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """The first n order prices, as a source."""
+    return positions.read(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias(POS), F.col("o_totalprice").alias(ELEM)), 0, 1, n)
+
+
+EVENTS = "events_ AS (SELECT event_id AS pos, value AS elem FROM events)"
+SOURCE = "src AS (SELECT o_orderkey AS pos, o_totalprice AS elem FROM orders WHERE o_orderkey < {n})"
+
+
+@query("SELECT count(*) AS len FROM events")
+def len_events(spark, sf_dir):
+    return events(spark, sf_dir).agg(F.count("*").alias("len"))
+
+
+@query("SELECT count(*) AS n, min(event_id) AS low, max(event_id) AS high, count(DISTINCT event_id) AS kinds FROM events")
+def validate_positions(spark, sf_dir):
+    seq = events(spark, sf_dir)
+    positions.validate(seq)
+    return seq.agg(F.count("*").alias("n"), F.min(POS).alias("low"), F.max(POS).alias("high"), F.count_distinct(POS).alias("kinds"))
+
+
+def _read(name: str, offset: int, stride: int, n: int | None) -> None:
+    end = "" if n is None else f" AND event_id < {offset + n * stride}"
+    sql = f"SELECT (event_id - {offset}) // {stride} AS pos, value AS elem FROM events WHERE event_id >= {offset}{end} AND (event_id - {offset}) % {stride} = 0"
+    query(sql, name)(lambda spark, sf_dir: positions.read(events(spark, sf_dir), offset, stride, n))
+
+
+for _name, _pattern in {
+    "read_contiguous": (100, 1, 300), "read_prefix_limit": (0, 1, 50), "read_past_eof": (900, 1, 1_000_000), "read_at_eof_empty": (10_000_000, 1, 5), "read_nothing": (5, 1, 0),
+    "read_strided": (0, 7, 100), "read_offset_strided": (100, 3, 500), "read_unbounded": (250, 1, None), "read_unbounded_strided": (100, 7, None), "read_stride_beyond_end": (3, 10_000_000, 4),
+}.items():
+    _read(_name, *_pattern)
+
+
+@query("SELECT count(*) AS n FROM events WHERE event_id >= 10 AND (event_id - 10) % 4 = 0")
+def read_discard(spark, sf_dir):
+    return positions.read(events(spark, sf_dir), 10, 4).agg(F.count("*").alias("n"))
+
+
+def _insert(name: str, offset: int | None, n: int) -> None:
+    at = "(SELECT count(*) FROM events)" if offset is None else f"least({offset}, (SELECT count(*) FROM events))"
+    sql = f"WITH {EVENTS}, {SOURCE.format(n=n)} SELECT CASE WHEN pos >= {at} THEN pos + (SELECT count(*) FROM src) ELSE pos END AS pos, elem FROM events_ UNION ALL SELECT pos + {at}, elem FROM src"
+    if offset is None:
+        query(sql, name)(lambda spark, sf_dir: positions.append(events(spark, sf_dir), prices(spark, sf_dir, n)))
+    else:
+        query(sql, name)(lambda spark, sf_dir: positions.insert(events(spark, sf_dir), prices(spark, sf_dir, n), offset))
+
+
+for _name, _pattern in {"insert_middle": (500, 200), "insert_front": (0, 10), "append": (None, 100), "insert_clamped_past_eof": (10_000_000, 5), "insert_zero_noop": (5, 0)}.items():
+    _insert(_name, *_pattern)
+
+
+def _write(name: str, offset: int, stride: int, n: int) -> None:
+    sql = f"""WITH {EVENTS}, {SOURCE.format(n=n)} SELECT e.pos, CASE WHEN s.pos IS NULL THEN e.elem ELSE s.elem END AS elem
+      FROM events_ e LEFT JOIN src s ON e.pos = {offset} + s.pos * {stride}"""
+    query(sql, name)(lambda spark, sf_dir: positions.write(events(spark, sf_dir), prices(spark, sf_dir, n), offset, stride, n))
+
+
+for _name, _pattern in {"write_contiguous": (100, 1, 300), "write_strided": (3, 7, 100), "write_clipped_at_eof": (990, 3, 1_200), "write_past_eof_noop": (10_000_000, 1, 5)}.items():
+    _write(_name, *_pattern)
+
+
+def _remove(name: str, offset: int, stride: int, n: int | None) -> None:
+    end = "" if n is None else f" AND event_id < {offset + n * stride}"
+    gone = f"event_id >= {offset}{end} AND (event_id - {offset}) % {stride} = 0"
+    query(f"SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, value AS elem FROM events WHERE NOT ({gone})", f"remove_{name}")(lambda spark, sf_dir: positions.remove(events(spark, sf_dir), offset, stride, n))
+    query(f"SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, value AS elem FROM events WHERE {gone}", f"take_{name}")(lambda spark, sf_dir: positions.take(events(spark, sf_dir), offset, stride, n)[0])
+
+
+for _name, _pattern in {"contiguous": (100, 1, 300), "strided": (10, 3, 200), "clipped": (900, 5, 1_000_000), "to_end": (700, 1, None), "nothing": (10_000_000, 2, 3), "everything": (0, 1, None)}.items():
+    _remove(_name, *_pattern)
+
+
+MIXED = f"""WITH {EVENTS}, {SOURCE.format(n=50)},
+a AS (SELECT CASE WHEN pos >= 400 THEN pos + 50 ELSE pos END AS pos, elem FROM events_ UNION ALL SELECT pos + 400, elem FROM src),
+b AS (SELECT a.pos, CASE WHEN s.pos IS NULL THEN a.elem ELSE s.elem END AS elem FROM a LEFT JOIN src s ON a.pos = 10 + s.pos * 2),
+c AS (SELECT row_number() OVER (ORDER BY pos) - 1 AS pos, elem FROM b WHERE NOT (pos >= 300 AND pos < 300 + 60 * 3 AND (pos - 300) % 3 = 0))
+SELECT pos, elem FROM c"""
+
+
+@query(MIXED)
+def mixed_ops(spark, sf_dir):
+    source = prices(spark, sf_dir, 50)
+    seq = positions.insert(events(spark, sf_dir), source, 400)
+    return positions.remove(positions.write(seq, source, 10, 2, 50), 300, 3, 60)
+
+
+def _slice(name: str, key: slice) -> None:
+    a, c = key.start or 0, key.step or 1
+    b = "(SELECT count(*) FROM events)" if key.stop is None else str(key.stop)
+    sql = f"SELECT (event_id - {a}) // {c} AS pos, value AS elem FROM events WHERE event_id >= {a} AND event_id < {b} AND (event_id - {a}) % {c} = 0"
+
+    def run(spark, sf_dir):
+        seq = events(spark, sf_dir)
+        return positions.read(seq, *positions.slice_pattern(positions.length(seq), key))
+
+    query(sql, name)(run)
+
+
+for _name, _key in {"slice_default": slice(None), "slice_step": slice(10, 500, 7), "slice_empty": slice(20, 10), "slice_open": slice(None, None, 9)}.items():
+    _slice(_name, _key)
+
+
+@query("SELECT o_orderkey AS pos, o_totalprice AS elem FROM orders")
+def field_access(spark, sf_dir):
+    return accessors.select(orders(spark, sf_dir), ".price")
+
+
+@query("SELECT o_orderkey AS pos, o_totalprice AS price, o_custkey AS cust FROM orders")
+def field_reorder(spark, sf_dir):
+    return accessors.select(orders(spark, sf_dir), "price", "cust").select(POS, "elem.*")
+
+
+@query("SELECT vec_id AS pos, embedding[9:24] AS elem FROM embeddings")
+def array_slice(spark, sf_dir):
+    return accessors.select(vectors(spark, sf_dir), "[8:24]")
+
+
+@query("SELECT vec_id AS pos, embedding[4:40:5] AS elem FROM embeddings")
+def array_slice_stride(spark, sf_dir):
+    return accessors.select(vectors(spark, sf_dir), "[3:40:5]")
+
+
+@query("SELECT vec_id // 2 AS pos, embedding[1:4] AS head, embedding[61:64] AS tail, label FROM embeddings WHERE vec_id % 2 = 0")
+def accessor_sequence(spark, sf_dir):
+    seq = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias(POS), F.struct("embedding", "label").alias(ELEM))
+    out = accessors.select(positions.read(seq, 0, 2), "embedding[0:4]", "embedding[60:]", "label")
+    return out.select(POS, F.col("elem.embedding").alias("head"), F.col("elem.embedding_2").alias("tail"), "elem.label")
+
+
+@query("SELECT vec_id AS pos, [embedding[1], embedding[3]] AS elem FROM embeddings")
+def nested_accessor(spark, sf_dir):
+    packets = F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda i: F.struct(F.element_at("embedding", i).alias("lo"), i.alias("k")))
+    seq = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias(POS), F.struct(packets.alias("packets")).alias(ELEM))
+    return accessors.select(seq, "packets[0:3:2].lo")
+
+
+@query("SELECT vec_id AS pos, list_concat(embedding[33:34], embedding[37:38], embedding[1:3]) AS elem FROM embeddings")
+def gather_jump(spark, sf_dir):
+    return vectors(spark, sf_dir).select(POS, accessors.gather(F.col(ELEM), [(32, 2, 2, 2), (0, 1, 3, 0)]).alias(ELEM))
+
+
+@query("SELECT event_id AS pos, right(left(user_id::VARCHAR || '|' || event_type, 6), 4) AS elem FROM events")
+def byte_range(spark, sf_dir):
+    packed = table(spark, sf_dir, "events").select(F.col("event_id").alias(POS), F.concat_ws("|", F.col("user_id").cast("string"), "event_type").cast("binary").alias("raw"))
+    # bytes 2 to 5, of 6 that are there
+    return packed.select(POS, accessors.byte_range(accessors.byte_range(F.col("raw"), 0, 6), 2, 4).cast("string").alias(ELEM))
+
+
+@query("SELECT event_id AS pos, CASE WHEN event_id % 2 = 0 THEN value END AS as_value, CASE WHEN event_id % 2 = 1 THEN user_id ELSE -1 END AS as_user FROM events")
+def union_variant(spark, sf_dir):
+    even = F.col("event_id") % 2 == 0
+    either = F.struct(F.when(even, "value").otherwise("user").alias("_tag"), F.when(even, F.col("value")).alias("value"), F.when(~even, F.col("user_id")).alias("user"))
+    seq = table(spark, sf_dir, "events").select(F.col("event_id").alias(POS), either.alias(ELEM))
+    return seq.select(POS, F.col("elem.value").alias("as_value"), F.coalesce("elem.user", F.lit(-1)).alias("as_user"))
+
+
+@query("SELECT o_orderkey AS pos, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 WHEN 'P' THEN 2 END AS elem FROM orders")
+def enum_ordinal(spark, sf_dir):
+    keys = types.parse("enum { F, O, P }").keys
+    at = F.array_position(F.array(*[F.lit(k) for k in keys]), F.col("elem.status"))
+    return orders(spark, sf_dir).select(POS, F.when(at > 0, (at - 1).cast("int")).alias(ELEM))
+
+
+def _values(spark, sf_dir) -> tuple[DataFrame, dict[str, scalar.Value]]:
+    df = table(spark, sf_dir, "lineitem").select(
+        F.monotonically_increasing_id().alias("_row"), "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag", "l_linestatus"
+    )
+    return df, {c: scalar.value(df, c) for c in df.columns}
+
+
+KEYS = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_discount"
+
+
+def _shown(df: DataFrame, **values: scalar.Value) -> DataFrame:
+    return df.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", *[v.column.alias(k) for k, v in values.items()])
+
+
+@query(f"SELECT {KEYS}, l_partkey + l_suppkey AS added, l_partkey - l_suppkey AS less, l_partkey * 3 AS times, l_quantity + l_linenumber AS mixed, -l_partkey AS negative FROM lineitem")
+def expr_arith(spark, sf_dir):
+    df, v = _values(spark, sf_dir)
+    return _shown(df, added=v["l_partkey"] + v["l_suppkey"], less=v["l_partkey"] - v["l_suppkey"], times=v["l_partkey"] * scalar.lit(3), mixed=v["l_quantity"] + v["l_linenumber"], negative=-v["l_partkey"])
+
+
+@query(f"SELECT {KEYS}, l_partkey > l_suppkey AS gt, l_partkey >= l_suppkey AS ge, l_partkey < l_quantity AS lt, l_returnflag <= l_linestatus AS le, l_partkey = l_suppkey AS eq, l_returnflag <> l_linestatus AS ne FROM lineitem")
+def expr_compare(spark, sf_dir):
+    df, v = _values(spark, sf_dir)
+    p, s, q, a, b = (v[c] for c in ("l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus"))
+    return _shown(df, gt=p > s, ge=p >= s, lt=p < q, le=a <= b, eq=p == s, ne=a != b)
+
+
+@query(f"SELECT {KEYS}, xor(l_partkey, l_suppkey) AS x, l_partkey | l_suppkey AS o, l_partkey & l_suppkey AS a, ~l_partkey AS n FROM lineitem")
+def expr_bitwise(spark, sf_dir):
+    df, v = _values(spark, sf_dir)
+    p, s = v["l_partkey"], v["l_suppkey"]
+    return _shown(df, x=p ^ s, o=p | s, a=p & s, n=~p)
+
+
+@query(f"SELECT {KEYS}, (l_partkey % 3 <> 0) AND (l_discount <> 0) AS both, (l_partkey % 3 <> 0) OR length(l_returnflag) > 0 AS either, NOT (l_discount <> 0) AS neither, ~((l_discount <> 0)::INTEGER) AS inverted FROM lineitem")
+def expr_logic_truthy(spark, sf_dir):
+    df, v = _values(spark, sf_dir)
+    rest = v["l_partkey"] % scalar.lit(3)
+    some = scalar.Value(v["l_discount"].truthy(), "bool")
+    return _shown(df, both=rest.land(v["l_discount"]), either=rest.lor(v["l_returnflag"]), neither=v["l_discount"].lnot(), inverted=~some)
+
+
+@query(f"SELECT {KEYS}, (((l_partkey - 50) % 7) + 7) % 7 AS up, (((l_partkey - 50) % -7) + -7) % -7 AS down, CASE WHEN l_linenumber % 2 = 0 THEN 'Infinity'::DOUBLE ELSE ((l_quantity % 1.5::DOUBLE) + 1.5::DOUBLE) % 1.5::DOUBLE END AS part FROM lineitem")
+def expr_pymod(spark, sf_dir):
+    df, v = _values(spark, sf_dir)
+    centred = v["l_partkey"] - scalar.lit(50)
+    by = scalar.Value(F.when(F.col("l_linenumber") % 2 == 0, 0.0).otherwise(1.5), "decimal")
+    return _shown(df, up=centred % scalar.lit(7), down=centred % scalar.lit(-7), part=v["l_quantity"] % by)
+
+
+@query(f"SELECT {KEYS}, (l_partkey - 50) // 3 AS whole, CASE WHEN l_linenumber % 2 = 0 THEN (CASE WHEN l_quantity > 0 THEN 'Infinity' WHEN l_quantity < 0 THEN '-Infinity' ELSE 'NaN' END)::DOUBLE ELSE l_quantity / 4 END AS part FROM lineitem")
+def expr_intdiv(spark, sf_dir):
+    df, v = _values(spark, sf_dir)
+    by = scalar.Value(F.when(F.col("l_linenumber") % 2 == 0, 0.0).otherwise(4.0), "decimal")
+    return _shown(df, whole=(v["l_partkey"] - scalar.lit(50)) / scalar.lit(3), part=v["l_quantity"] / by)
+
+
+@query(
+    """WITH z AS (SELECT event_id AS pos, value AS a, (event_id % 7)::DOUBLE AS b, (event_id % 3)::DOUBLE AS c, 2.0::DOUBLE AS d FROM events)
+SELECT pos, a + c AS add_re, b + d AS add_im, a * c - b * d AS mul_re, a * d + b * c AS mul_im, a * a + b * b > c * c + d * d AS gt, a * a + b * b <= 9 AS le, (a = c AND b = d) AS eq FROM z"""
+)
+def expr_complex(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias(POS),
+        F.struct(F.col("value").alias("re"), (F.col("event_id") % 7).cast("double").alias("im")).alias("x"),
+        F.struct((F.col("event_id") % 3).cast("double").alias("re"), F.lit(2.0).alias("im")).alias("y"),
+    )
+    x, y = scalar.value(df, "x"), scalar.value(df, "y")
+    added, times = (x + y).column, (x * y).column
+    return df.select(POS, added["re"].alias("add_re"), added["im"].alias("add_im"), times["re"].alias("mul_re"), times["im"].alias("mul_im"), (x > y).column.alias("gt"), (x <= scalar.lit(9)).column.alias("le"), (x == y).column.alias("eq"))
+
+
+@query("SELECT vec_id AS pos, list_concat(embedding[1:2], embedding[63:64]) AS joined, 'v' || label::VARCHAR AS name, embedding[1:2] = embedding[63:64] AS same FROM embeddings")
+def expr_string_array_concat(spark, sf_dir):
+    df = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias(POS), F.slice("embedding", 1, 2).alias("a"), F.slice("embedding", 63, 2).alias("b"), F.col("label").cast("string").alias("label"))
+    a, b, label = (scalar.value(df, c) for c in ("a", "b", "label"))
+    return df.select(POS, (a + b).column.alias("joined"), (scalar.lit("v") + label).column.alias("name"), (a == b).column.alias("same"))
+
+
+@query("SELECT o_orderkey AS pos, o_custkey AS cust, o_totalprice AS price, o_orderstatus AS status FROM orders")
+def expr_object_merge(spark, sf_dir):
+    seq = orders(spark, sf_dir)
+    df = seq.select(POS, F.struct("elem.cust", "elem.price").alias("a"), F.struct("elem.status").alias("b"))
+    merged = scalar.value(df, "a") + scalar.value(df, "b")
+    return df.select(POS, merged.column.alias("m")).select(POS, "m.*")
+
+
+@query(
+    "SELECT o_orderkey AS pos, " + ", ".join(
+        f"o_custkey * 7 - 900 BETWEEN {low} AND {high} AS {t}" for t, (low, high) in {"u8": (0, 255), "i8": (-128, 127), "u16": (0, 65535), "i16": (-32768, 32767), "u32": (0, 4294967295), "i32": (-2147483648, 2147483647), "f16": (-65504, 65504)}.items()
+    ) + " FROM orders"
+)
+def fits_prim(spark, sf_dir):
+    x = F.col("o_custkey") * 7 - 900
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias(POS), *[literals.fits(x, types.Prim(t)).alias(t) for t in ("u8", "i8", "u16", "i16", "u32", "i32", "f16")])
+
+
+@query("SELECT vec_id AS pos, len(embedding) = 64 AND list_min(embedding) >= -65504 AND list_max(embedding) <= 65504 AS vector, len(embedding) = 63 AS other FROM embeddings")
+def fits_array(spark, sf_dir):
+    seq = vectors(spark, sf_dir)
+    return seq.select(POS, literals.fits(F.col(ELEM), types.parse("[64] f16")).alias("vector"), literals.fits(F.col(ELEM), types.parse("[63] f32")).alias("other"))
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> Store:
+    store = Store(spark, workspace(spark))
+    store.create("events", "f64").append(events(spark, sf_dir))
+    return store
+
+
+STORED = f"""WITH {EVENTS}, {SOURCE.format(n=300)},
+a AS (SELECT CASE WHEN pos >= 500 THEN pos + 300 ELSE pos END AS pos, elem FROM events_ UNION ALL SELECT pos + 500, elem FROM src),
+b AS (SELECT a.pos, CASE WHEN s.pos IS NULL THEN a.elem ELSE s.elem END AS elem FROM a LEFT JOIN src s ON a.pos = 7 + s.pos * 3)
+SELECT row_number() OVER (ORDER BY pos) - 1 AS pos, elem FROM b WHERE NOT (pos >= 100 AND pos < 100 + 200 * 5 AND (pos - 100) % 5 = 0)"""
+
+
+@query(STORED)
+def store_mutations(spark, sf_dir):
+    store = _stored(spark, sf_dir)
+    v = store.get("events")
+    v.insert(500, prices(spark, sf_dir, 300))
+    v.write(prices(spark, sf_dir, 300), 7, 3)
+    v.remove(100, 5, 200)
+    return v[:]
+
+
+@query(f"WITH {EVENTS} SELECT pos - 200 AS pos, elem FROM events_ WHERE pos >= 200 AND pos < 500")
+def store_take(spark, sf_dir):
+    return _stored(spark, sf_dir).get("events").taking()[200:500]
+
+
+@query(f"WITH {EVENTS}, {SOURCE.format(n=20)} SELECT pos + (SELECT count(*) FROM src) AS pos, elem FROM events_ UNION ALL SELECT pos, elem FROM src")
+def txn_commit_visible(spark, sf_dir):
+    store = _stored(spark, sf_dir)
+    with store.begin() as tx:
+        tx.insert("events", prices(spark, sf_dir, 20), 0)
+    return store.get("events")[:]
+
+
+@query(f"WITH {EVENTS} SELECT pos, elem FROM events_")
+def txn_rollback_invisible(spark, sf_dir):
+    store = _stored(spark, sf_dir)
+    tx = store.begin()
+    tx.remove("events", 0, 2, 100)
+    tx.rollback()
+    return store.get("events")[:]
+
+
+@query(f"WITH {EVENTS}, {SOURCE.format(n=5)} SELECT pos, elem FROM events_ UNION ALL SELECT pos + (SELECT count(*) FROM events), elem FROM src")
+def txn_savepoint(spark, sf_dir):
+    store = _stored(spark, sf_dir)
+    with store.begin() as tx:
+        tx.insert("events", prices(spark, sf_dir, 5))
+        at = tx.savepoint()
+        tx.remove("events", 0, 1, 50)
+        tx.rollback(at)
+    return store.get("events")[:]
+
+
+@query(f"WITH {EVENTS} SELECT pos, elem FROM events_")
+def time_travel(spark, sf_dir):
+    store = _stored(spark, sf_dir)
+    before = max(store.versions())
+    store.get("events").remove(0, 1, 500)
+    return store.at(before).read("events")
+
+
+@query(f"WITH {EVENTS} SELECT pos, elem FROM events_")
+def store_compact(spark, sf_dir):
+    store = _stored(spark, sf_dir)
+    v = store.get("events")
+    v.write(v.read(0, 7, 40), 0, 7)
+    store.compact("events")
+    return v[:]
+
+
+@query("SELECT (event_id - 10) // 4 AS pos, value AS elem FROM events WHERE event_id >= 10 AND event_id < 410 AND (event_id - 10) % 4 = 0")
+def statement_read(spark, sf_dir):
+    return language.execute(_stored(spark, sf_dir), "read events 10:410:4;")[0].value
+
+
+@query("SELECT (event_id - 50)::BIGINT AS pos, value AS elem FROM events WHERE event_id >= 50")
+def statement_script(spark, sf_dir):
+    store = Store(spark, workspace(spark))
+    done = language.execute(store, "create copy f64; insert copy 0; take copy 0:50; read copy;", {"copy": events(spark, sf_dir)})
+    return done[-1].value
+
+
+@query("SELECT (event_id * 8 + k - 5) // 24 * 6 + (event_id * 8 + k - 5) % 24 AS pos, (event_id * 8 + k) % 256 AS elem FROM events, range(8) r(k) WHERE event_id * 8 + k >= 5 AND event_id * 8 + k < 5 + 24 * 300 AND (event_id * 8 + k - 5) % 24 < 6")
+def byte_blocks_read(spark, sf_dir):
+    raw = table(spark, sf_dir, "events").select(F.explode(F.sequence(F.col("event_id") * 8, F.col("event_id") * 8 + 7)).alias(POS))
+    raw = raw.select(POS, (F.col(POS) % 256).alias(ELEM))
+    return byte_view.read(raw, raw.count(), 6, 5, 4, 300)
+
+
+@query(f"WITH {EVENTS} SELECT pos, elem FROM events_")
+def stream_append(spark, sf_dir):
+    at = workspace(spark)
+    store = Store(spark, f"{at}/store")
+    store.create("events", "f64")
+    rows = table(spark, sf_dir, "events").select("event_id", "value")
+    rows.repartitionByRange(3, "event_id").write.parquet(f"{at}/in")
+    read = spark.readStream.schema(rows.schema).parquet(f"{at}/in")
+    streams.append_stream(store, "events", read, order=["event_id"], elem=F.col("value"), stream_id="in", checkpoint=f"{at}/checkpoint", available_now=True).awaitTermination()
+    return store.get("events")[:]
+
 
-def read_offset_strided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.where((F.col("event_id") >= 100) & ((F.col("event_id") - 100) % 3 == 0)).select(((F.col("event_id") - 100) / 3).cast("long").alias("pos"), "value")
+@query(f"WITH {EVENTS}, n AS (SELECT count(*) AS n FROM events) SELECT pos - n + 100 AS pos, elem FROM events_, n WHERE pos >= n - 100")
+def window_last(spark, sf_dir):
+    return streams.Window(_stored(spark, sf_dir), "events", 100).read()
 
 
-QUERIES = {"read_offset_strided": read_offset_strided}
-ORACLES = {"read_offset_strided": "SELECT (event_id - 100) // 3 AS pos, value FROM events WHERE event_id >= 100 AND (event_id - 100) % 3 = 0"}
+@query("SELECT row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS pos, o_totalprice AS elem FROM orders")
+def ingest_positions(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_totalprice", "o_orderkey")
+    return ingest.positioned(rows, ["o_totalprice", "o_orderkey"], F.col("o_totalprice"), workspace(spark))
