@@ -255,6 +255,8 @@ class SArray(Type):
     def validate(self) -> None:
         if not self.dims or any(d < 1 for d in self.dims):
             raise StatementError(f"an array has one dimension at least, each of 1 or more: {self.dims}")
+        if isinstance(self.elem, SArray):
+            raise StatementError("an array of arrays is one array of more dimensions")
         self.elem.validate()
 
     @property
@@ -359,4 +361,5 @@ def random_type(rng: random.Random, depth: int = 3) -> Type:
         return (Struct if kind == 4 else Union)(tuple((name(i), random_type(rng, depth - 1)) for i in range(rng.randint(1, 4))))
     if kind == 6:
         return Enum(tuple(name(i) for i in range(rng.randint(1, 5))))
-    return SArray(tuple(rng.randint(1, 4) for _ in range(rng.randint(1, 3))), random_type(rng, depth - 1))
+    dims, elem = tuple(rng.randint(1, 4) for _ in range(rng.randint(1, 3))), random_type(rng, depth - 1)
+    return SArray(dims + elem.dims, elem.elem) if isinstance(elem, SArray) else SArray(dims, elem)
