@@ -11,7 +11,7 @@ back is small for each page; texts are moved once, to meet their page's list of
 Defined results: a line is what stands between ``\\n``; lines of only spaces, tabs and ``\\r`` are never counted or dropped;
 a line repeated in a page counts once for it and all its occurrences go; rows with a null site are one site; every row is
 a page, also those with null or empty text, which come back unchanged; repeated rows are pages of their own; a page whose
-lines all go has the text ``''``; further columns pass through.
+lines all go has the text ``''``; a column lines_dropped is replaced, further columns pass through.
 """
 
 from __future__ import annotations
@@ -28,16 +28,19 @@ def _keys(text: Column, site: Column) -> Column:
 
 def site_line_dedup(pages: DataFrame, *, site: str = "source", text: str = "text", key: str = "doc_id", percent: int = 5, min_pages: int = 5) -> DataFrame:
     """`pages` with `text` cleaned, and lines_dropped (long). Lines on more than `percent` % of the pages of their site, and on `min_pages` at least, go."""
-    of = F.xxhash64(F.isnull(site), F.col(site))
+    of = F.xxhash64(F.isnull(F.col(site)), F.col(site))
     lined = pages.select(F.col(key).alias("_id"), of.alias("_site"), F.explode(F.array_compact(F.array_distinct(_keys(F.col(text), of)))).alias("_k"))
     found = lined.groupBy("_k").agg(F.count("*").alias("_n"), F.min("_site").alias("_site")).where(F.col("_n") >= min_pages)
     total = pages.groupBy(of.alias("_site")).agg(F.count("*").alias("_pages"))
     common = found.join(total, "_site").where(F.col("_n") * 100 > F.col("_pages") * percent).select("_k")
     gone = lined.select("_id", "_k").join(common, "_k").groupBy("_id").agg(F.collect_set("_k").alias("_gone"))
-    met = pages.join(gone, F.col(key).eqNullSafe(F.col("_id")), "left")
-    pairs = F.arrays_zip(F.split(F.col(text), "\n", -1).alias("line"), _keys(F.col(text), of).alias("k"))
+    met = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row")).join(gone, F.col("row")[key].eqNullSafe(F.col("_id")), "left")
+    own = F.col("row")[text]
+    lines = F.split(own, "\n", -1)
+    pairs = F.arrays_zip(lines.alias("line"), _keys(own, F.xxhash64(F.isnull(F.col("row")[site]), F.col("row")[site])).alias("k"))
     kept = F.filter(pairs, lambda x: x["k"].isNull() | ~F.array_contains("_gone", F.coalesce(x["k"], F.lit(0))))
     met = met.withColumn("_kept", F.when(F.col("_gone").isNotNull(), F.transform(kept, lambda x: x["line"])))
-    dropped = F.when(F.col("_kept").isNull(), 0).otherwise(F.size(F.split(F.col(text), "\n", -1)) - F.size("_kept"))
-    new = F.when(F.col("_kept").isNull(), F.col(text)).otherwise(F.array_join("_kept", "\n"))
-    return met.select(*[new.alias(text) if c == text else F.col(c) for c in pages.columns], dropped.cast("long").alias("lines_dropped"))
+    dropped = F.when(F.col("_kept").isNull(), 0).otherwise(F.size(lines) - F.size("_kept"))
+    new = F.when(F.col("_kept").isNull(), own).otherwise(F.array_join("_kept", "\n"))
+    columns = [new.alias(text) if c == text else F.col("row")[c].alias(c) for c in pages.columns if c != "lines_dropped"]
+    return met.select(*columns, dropped.cast("long").alias("lines_dropped"))
