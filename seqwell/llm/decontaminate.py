@@ -157,7 +157,10 @@ class Automaton:
             hits, mask = self.stream(number[a:b].tolist())
             if hits:
                 base = a - int(block.at[t])
-                spans.setdefault(t, []).extend((x + base, y + base) for x, y in hits)
+                own = spans.setdefault(t, [])
+                for x, y in hits:
+                    begin = own.pop()[0] if own and own[-1][1] == x + base else x + base
+                    own.append((begin, y + base))
                 items[t] = items.get(t, 0) | mask
         return spans, items
 

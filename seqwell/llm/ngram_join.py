@@ -14,8 +14,9 @@ How hot groups are met:
   COMMON x (mean n-grams a text) of them: that bound makes the table of them fit a broadcast. They are not dealt to
   fragments; they come last in the global order.
 * Large groups of near copies. Pairs in a key's bucket are tried against one leader first. Members found to be connected
-  already need no further test, so a group of m near copies takes about m pairs, not m * m / 2. Buckets that still hold
-  several components get another leader, then every pair across components that is left. No bucket or partner is capped,
+  already need no further test, so a group of m near copies takes about m pairs, not m * m / 2. Members whose n-grams of
+  their own are too many for any size in the bucket leave it. Buckets that still hold several components get another
+  leader, then every pair across components that is left. No bucket or partner is capped,
   and the components are those of all links.
 
 Defined results: null or empty texts, and texts without words, have no n-gram, are linked with nothing and are a component
@@ -183,12 +184,14 @@ def _fragment(key: tuple, rows: pa.Table) -> pa.Table:
 
 
 def _prefix(percent: int):
-    """Of each class that can have a partner: its prefix, the rarest shared n-grams in the global order, and all its shared n-grams."""
-    kinds = pa.schema([("class", pa.int64()), ("size", pa.int64()), ("prefix", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64()))])
+    """Of each class that can have a partner: its prefix, the rarest shared n-grams in the global order, and all its shared n-grams.
+
+    Only shared n-grams can be in an overlap, so a partner's set has at most `reach` n-grams: overlap >= percent / (100 + percent) * (sum of both sizes)."""
+    kinds = pa.schema([("class", pa.int64()), ("size", pa.int64()), ("reach", pa.int64()), ("prefix", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [])
             for name, size, parts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 grams, texts = [], []
                 common = np.zeros(0, dtype=np.uint32)
@@ -207,11 +210,12 @@ def _prefix(percent: int):
                 every = np.concatenate([gram[np.lexsort((gram, few))], -1 - np.sort(common).astype(np.int64)])
                 out[0].append(name)
                 out[1].append(size)
-                out[2].append(every[:length])
-                out[3].append(every)
+                out[2].append((100 + percent) * len(every) // percent - size)
+                out[3].append(every[:length])
+                out[4].append(every)
             yield pa.record_batch([pa.array(x, t) for x, t in zip(out, kinds.types, strict=True)], schema=kinds)
 
-    return run, "class long, size long, prefix array<long>, grams array<long>"
+    return run, "class long, size long, reach long, prefix array<long>, grams array<long>"
 
 
 def _linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
@@ -226,21 +230,19 @@ def _linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
 def connected(edges: DataFrame) -> DataFrame:
     """The smallest node of each node's component, (node, root), by rounds of large and small stars over written tables."""
     edges = edges.where("a <> b").select(F.least("a", "b").alias("root"), F.greatest("a", "b").alias("node")).distinct()
-    before = None
     while True:
         # large star: every larger neighbour of a node is linked with the node's smallest neighbour
         near = edges.unionByName(edges.select(F.col("node").alias("root"), F.col("root").alias("node")))
-        least = near.groupBy(F.col("root").alias("node")).agg(F.min("node").alias("m")).select("node", F.least("node", "m").alias("m"))
-        large = near.join(least.withColumnRenamed("node", "root"), "root").where("node > root").select(F.col("m").alias("root"), "node").distinct()
+        least = near.groupBy("root").agg(F.min("node").alias("m")).select("root", F.least("root", "m").alias("m"))
+        large = shared.written(near.join(least, "root").where("node > root").select(F.col("m").alias("root"), "node").distinct())
         # small star: the smaller neighbours of a node are linked with the smallest of them
-        large = shared.written(large)
         low = large.groupBy("node").agg(F.min("root").alias("m"))
         small = large.join(low, "node").where("root <> m").select(F.col("m").alias("root"), F.col("root").alias("node"))
         edges = shared.written(small.unionByName(low.select(F.col("m").alias("root"), "node")).distinct())
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("root", "node").cast("decimal(38,0)"))).first())
-        if now == before:
+        # done when no node has two roots and no root is a node
+        ends = edges.select("node", F.lit(1).alias("up")).unionByName(edges.select(F.col("root").alias("node"), F.lit(1 << 20).alias("up")).distinct())
+        if ends.groupBy("node").agg(F.sum("up").alias("up")).where(f"up NOT IN (1, {1 << 20})").isEmpty():
             return edges.select("node", "root")
-        before = now
 
 
 def components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -267,37 +269,42 @@ def components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: i
     part = lambda x: F.pmod(F.when(x < 0, -x).otherwise(F.shiftright(x, 32)), F.lit(PARTS))
     parts = classes.select("class", "size", "grams", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
     parts = parts.select("class", "size", "part", F.filter("grams", lambda x: part(x) == F.col("part")).alias("grams")).where(F.size("grams") > 0)
-    keys = classes.select("class", "size", F.explode("prefix").alias("gram"))
-    alone = keys.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    keys = shared.written(keys.join(alone, "gram"))
+    every = classes.select("class", "size", "reach", F.explode("prefix").alias("gram"))
+    keys = shared.written(every.join(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "gram"))
 
-    alike = (F.col("size_a") * 100 >= F.col("size_b") * percent) & (F.col("size_b") * 100 >= F.col("size_a") * percent)
-    count = keys.count()
-    links, roots, open_keys = None, None, keys.withColumn("root", F.col("class"))
+    alike = (F.col("size_a") <= F.col("reach_b")) & (F.col("size_b") <= F.col("reach_a")) & (F.col("root_a") != F.col("root_b"))
+    side = lambda x, *more: [F.col("class").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("size", "reach", "root")), *more]
+    count, roots, named = keys.count(), None, keys.withColumn("root", F.col("class"))
     for turn in range(LEADERS + 1):
         if turn:
             named = keys.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-            by_root = named.groupBy("gram", "root").agg(F.count("*").alias("n"))
-            several = by_root.groupBy("gram").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("roots")).where("roots > 1")
-            several = shared.written(several.select("gram", ((F.col("m") * F.col("m") - F.col("same")) / 2).alias("left_over")))
-            left_over = several.agg(F.coalesce(F.sum("left_over"), F.lit(0.0))).first()[0]
-            if not left_over:
-                break
-            open_keys = shared.written(named.join(several.select("gram"), "gram"))
-        a, b = open_keys, open_keys.select("gram", F.col("class").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
-        last = turn == LEADERS or turn and left_over <= 2 * count
+        # of each bucket those members that some other size in it can go with, if they are of several components
+        range_ = named.groupBy("gram").agg(F.min("size").alias("least"), F.max("reach").alias("most"))
+        fit = named.join(range_, "gram").where((F.col("reach") >= F.col("least")) & (F.col("size") <= F.col("most")))
+        by_root = fit.groupBy("gram", "root").agg(F.count("*").alias("n"))
+        several = by_root.groupBy("gram").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("roots")).where("roots > 1")
+        several = shared.written(several.select("gram", ((F.col("m") * F.col("m") - F.col("same")) / 2).alias("left_over")))
+        left_over = several.agg(F.coalesce(F.sum("left_over"), F.lit(0.0))).first()[0]
+        if not left_over:
+            break
+        fit = shared.written(fit.join(several.select("gram"), "gram").select("gram", "class", "size", "reach", "root"))
+        last = turn == LEADERS or left_over <= 2 * count
+        b = fit.select("gram", *side("b"))
         if last:
-            a = a.select("gram", F.col("class").alias("a"), F.col("size").alias("size_a"), "root")
-            met = a.join(b, "gram").where((F.col("root") < F.col("root_b")) & alike)
+            met = fit.select("gram", *side("a")).join(b, "gram").where(alike & (F.col("a") < F.col("b")))
         else:
-            lead = F.min(F.struct(F.xxhash64(F.col("class"), F.lit(turn)), F.col("class").alias("a"), F.col("size").alias("size_a"), "root"))
-            a = a.groupBy("gram").agg(lead.alias("lead")).select("gram", "lead.a", "lead.size_a", "lead.root")
-            met = b.join(a, "gram").where((F.col("root") != F.col("root_b")) & alike)
+            # the member that goes with most sizes leads, or later another one
+            order = [F.col("size") - F.col("reach"), F.xxhash64("class")] if not turn else [F.xxhash64(F.col("class"), F.lit(turn))]
+            lead = fit.groupBy("gram").agg(F.min_by(F.struct(*side("a")), F.struct(*order)).alias("lead")).select("gram", "lead.*")
+            met = b.join(lead, "gram").where(alike)
         found = shared.written(_linked(met.select("a", "b").distinct(), parts, percent))
-        links = found if links is None else links.unionByName(found)
-        roots = connected(links if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        roots = connected(found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         if last:
             break
+    return _named(known, spark.createDataFrame([], "node long, root long") if roots is None else roots)
+
+
+def _named(known: DataFrame, roots: DataFrame) -> DataFrame:
     named = known.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     first = named.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return named.join(first, "root", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
