@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -244,12 +244,20 @@ class Transaction:
         return T.StructType([T.StructField("fpos", T.LongType()), T.StructField(ELEM, self.type(name).spark())])
 
     def _scan(self, name: str, start: int, stop: int) -> DataFrame:
-        """Positions start to stop - 1 as they are: a union of ranges of files, each pruned by its Parquet statistics."""
+        """Positions start to stop - 1 as they are: each file is read once, pruned by its Parquet statistics to the range of its pieces."""
         schema, spark = self._schema(name), self.store.spark
-        out = None
+        by_file: dict[str, list[tuple[int, Piece]]] = {}
         for at, p in self._pieces(name).slice(start, stop):
-            rows = spark.read.schema(schema).parquet(f"{self.store.path}/data/{p.file}")
-            rows = rows.where((F.col("fpos") >= p.start) & (F.col("fpos") < p.start + p.count)).select((F.col("fpos") + (at - p.start)).alias(POS), ELEM)
+            by_file.setdefault(p.file, []).append((at, p))
+        out = None
+        for file, pieces in by_file.items():
+            pieces.sort(key=lambda x: x[1].start)
+            rows = spark.read.schema(schema).parquet(f"{self.store.path}/data/{file}")
+            rows = rows.where((F.col("fpos") >= pieces[0][1].start) & (F.col("fpos") < pieces[-1][1].start + pieces[-1][1].count))
+            if len(pieces) == 1:
+                rows = rows.select((F.col("fpos") + (pieces[0][0] - pieces[0][1].start)).alias(POS), ELEM)
+            else:
+                rows = rows.select((F.col("fpos") + _shift(pieces)).alias(POS), ELEM).where(F.col(POS).isNotNull())
             out = rows if out is None else out.unionAll(rows)
         return spark.createDataFrame([], T.StructType([T.StructField(POS, T.LongType()), schema[ELEM]])) if out is None else out
 
@@ -371,6 +379,15 @@ class Transaction:
             self.compact(name, max(2, 4 * len(pieces) // COMPACT))
 
 
+def _shift(pieces: list[tuple[int, Piece]]) -> Column:
+    """How far a row of a file moves, null if no piece has it: a balanced tree of comparisons over pieces in order of their start."""
+    if len(pieces) == 1:
+        at, p = pieces[0]
+        return F.when((F.col("fpos") >= p.start) & (F.col("fpos") < p.start + p.count), F.lit(at - p.start).cast("long"))
+    half = len(pieces) // 2
+    return F.when(F.col("fpos") < pieces[half][1].start, _shift(pieces[:half])).otherwise(_shift(pieces[half:]))
+
+
 def _stored(x, t: types.Type):
     """A literal in the stored form, after a check of its range."""
     x = x.asDict(recursive=True) if hasattr(x, "asDict") else x
