@@ -2,7 +2,8 @@
 
 Measures of each whole text: characters per token under two public vocabularies, the share of tokens that are bytes the
 vocabulary falls back to, and the entropy of the token distribution, in bits. A text is rejected if a measure lies outside
-the band of its script. Texts of fewer than `FEW` tokens have no dependable entropy and pass that band.
+the band of its script. Entropy grows with a text's length, so it is held to a share of the bits of its number of words,
+`FULL` at most. Texts of fewer than `FEW` tokens have no dependable entropy and pass that band.
 
 Words are cut at white space, as both vocabularies do before they merge, so each distinct word is tokenised once and kept
 in a bounded cache; texts are then sums and counts over numpy arrays of word numbers.
@@ -26,14 +27,15 @@ from pyspark.sql import DataFrame
 from seqwell.llm.words import BLOCK, arrow_bytes
 
 #: Bands by script, all inclusive: (least, most) characters per token of the piece vocabulary and of the byte-pair
-#: vocabulary, most byte-fallback share, (least, most) entropy. Scripts that a vocabulary knows badly have wider bands.
+#: vocabulary, most byte-fallback share, least share of entropy. Scripts that a vocabulary knows badly have wider bands.
 BANDS = {
-    "latin": ((1.3, 8.0), (1.3, 8.0), 0.10, (3.0, 14.0)),
-    "cyrillic": ((1.0, 8.0), (0.4, 8.0), 0.10, (3.0, 14.0)),
-    "greek": ((0.6, 8.0), (0.4, 8.0), 0.20, (3.0, 14.0)),
-    "cjk": ((0.3, 4.0), (0.2, 4.0), 0.80, (3.0, 14.0)),
-    "other": ((0.2, 8.0), (0.2, 8.0), 0.90, (2.5, 14.0)),
+    "latin": ((1.3, 8.0), (1.3, 8.0), 0.10, 0.79),
+    "cyrillic": ((1.0, 8.0), (0.4, 8.0), 0.10, 0.60),
+    "greek": ((0.6, 8.0), (0.4, 8.0), 0.20, 0.50),
+    "cjk": ((0.3, 4.0), (0.2, 4.0), 0.80, 0.40),
+    "other": ((0.2, 8.0), (0.2, 8.0), 0.90, 0.30),
 }
+FULL = 200
 FEW = 64
 #: Code points where a script begins; up to the next one.
 SCRIPT_STARTS = [(0x0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x2E80, "cjk"), (0xA000, "other"), (0xAC00, "cjk"), (0xD7B0, "other"), (0xF900, "cjk"), (0xFB00, "other"), (0xFF00, "cjk"), (0xFFF0, "other"), (0x20000, "cjk"), (0x32000, "other")]
@@ -182,7 +184,7 @@ def measure(docs: DataFrame, *, text: str = "text", pieces: str | None = None, r
                     column[i] = x
                 scripts[i] = own_script
                 piece, pair, most, entropy = bands[own_script]
-                fits = piece[0] <= found[0] <= piece[1] and pair[0] <= found[1] <= pair[1] and found[2] <= most and (total < FEW or entropy[0] <= found[3] <= entropy[1])
+                fits = piece[0] <= found[0] <= piece[1] and pair[0] <= found[1] <= pair[1] and found[2] <= most and (total < FEW or found[3] >= entropy * np.log2(min(FULL, max(2, len(words)))))
                 kept[i] = not failed[i] and fits
             columns = [*(pa.array(base_rows[:, k]) for k in range(len(BASE))), *(pa.array(x, pa.float64()) for x in measures), pa.array(scripts, pa.string()), pa.array(failed), pa.array(kept)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *new])
