@@ -42,8 +42,8 @@ COMMON = 500
 FRAGMENT, GATHER = 1 << 21, 1 << 20
 #: Parts in which overlaps of a pair are counted.
 PARTS = 8
-#: Rounds of leaders before all pairs left are tried.
-LEADERS = 5
+#: Rounds of leaders before all pairs left are tried, and how many pairs a key may leave on average to be tried at once.
+LEADERS, FEW = 3, 20
 
 
 def _sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -186,12 +186,13 @@ def _fragment(key: tuple, rows: pa.Table) -> pa.Table:
 def _prefix(percent: int):
     """Of each class that can have a partner: its prefix, the rarest shared n-grams in the global order, and all its shared n-grams.
 
-    Only shared n-grams can be in an overlap, so a partner's set has at most `reach` n-grams: overlap >= percent / (100 + percent) * (sum of both sizes)."""
-    kinds = pa.schema([("class", pa.int64()), ("size", pa.int64()), ("reach", pa.int64()), ("prefix", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64()))])
+    Only shared n-grams can be in an overlap, so a partner's set has at most `reach` n-grams: overlap >= percent / (100 + percent) * (sum of both sizes).
+    The mass says how common a text's n-grams are on average: the text that others were made from has the most."""
+    kinds = pa.schema([("class", pa.int64()), ("size", pa.int64()), ("reach", pa.int64()), ("mass", pa.float64()), ("prefix", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [])
             for name, size, parts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 grams, texts = [], []
                 common = np.zeros(0, dtype=np.uint32)
@@ -211,11 +212,12 @@ def _prefix(percent: int):
                 out[0].append(name)
                 out[1].append(size)
                 out[2].append((100 + percent) * len(every) // percent - size)
-                out[3].append(every[:length])
-                out[4].append(every)
+                out[3].append((float(few.sum()) + float((common.astype(np.float64) + (1 << 20)).sum())) / size)
+                out[4].append(every[:length])
+                out[5].append(every)
             yield pa.record_batch([pa.array(x, t) for x, t in zip(out, kinds.types, strict=True)], schema=kinds)
 
-    return run, "class long, size long, reach long, prefix array<long>, grams array<long>"
+    return run, "class long, size long, reach long, mass double, prefix array<long>, grams array<long>"
 
 
 def _linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
@@ -269,42 +271,40 @@ def components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: i
     part = lambda x: F.pmod(F.when(x < 0, -x).otherwise(F.shiftright(x, 32)), F.lit(PARTS))
     parts = classes.select("class", "size", "grams", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
     parts = parts.select("class", "size", "part", F.filter("grams", lambda x: part(x) == F.col("part")).alias("grams")).where(F.size("grams") > 0)
-    every = classes.select("class", "size", "reach", F.explode("prefix").alias("gram"))
-    keys = shared.written(every.join(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "gram"))
-
-    alike = (F.col("size_a") <= F.col("reach_b")) & (F.col("size_b") <= F.col("reach_a")) & (F.col("root_a") != F.col("root_b"))
-    side = lambda x, *more: [F.col("class").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("size", "reach", "root")), *more]
-    count, roots, named = keys.count(), None, keys.withColumn("root", F.col("class"))
+    every = classes.select("class", "size", "reach", "mass", F.explode("prefix").alias("gram"))
+    # of each bucket of several members the one of most mass as leader, and those members that some size in it can go with
+    lead = F.max_by(F.struct(F.col("class").alias("a"), F.col("size").alias("size_a"), F.col("reach").alias("reach_a")), F.struct("mass", "class"))
+    bucket = every.groupBy("gram").agg(F.count("*").alias("n"), F.min("size").alias("least"), F.max("reach").alias("most"), lead.alias("lead")).where("n > 1")
+    keys = every.join(bucket, "gram").where((F.col("reach") >= F.col("least")) & (F.col("size") <= F.col("most")))
+    keys = shared.written(keys.select("gram", "class", "size", "reach", "lead.*"))
+
+    alike = (F.col("size_a") <= F.col("reach_b")) & (F.col("size_b") <= F.col("reach_a"))
+    side = lambda x, *more: [F.col("class").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("size", "reach", "root", *more))]
+    met = keys.where("class <> a").select("a", "size_a", "reach_a", F.col("class").alias("b"), F.col("size").alias("size_b"), F.col("reach").alias("reach_b")).where(alike)
+    count, roots, last = keys.count(), None, False
     for turn in range(LEADERS + 1):
-        if turn:
-            named = keys.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-        # of each bucket those members that some other size in it can go with, if they are of several components
-        range_ = named.groupBy("gram").agg(F.min("size").alias("least"), F.max("reach").alias("most"))
-        fit = named.join(range_, "gram").where((F.col("reach") >= F.col("least")) & (F.col("size") <= F.col("most")))
-        by_root = fit.groupBy("gram", "root").agg(F.count("*").alias("n"))
+        found = shared.written(_linked(met.select("a", "b").distinct(), parts, percent))
+        roots = connected(found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        if last:
+            break
+        named = keys.select("gram", "class", "size", "reach").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+        by_root = named.groupBy("gram", "root").agg(F.count("*").alias("n"))
         several = by_root.groupBy("gram").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("roots")).where("roots > 1")
         several = shared.written(several.select("gram", ((F.col("m") * F.col("m") - F.col("same")) / 2).alias("left_over")))
         left_over = several.agg(F.coalesce(F.sum("left_over"), F.lit(0.0))).first()[0]
         if not left_over:
             break
-        fit = shared.written(fit.join(several.select("gram"), "gram").select("gram", "class", "size", "reach", "root"))
-        last = turn == LEADERS or left_over <= 2 * count
-        b = fit.select("gram", *side("b"))
+        last = turn == LEADERS - 1 or left_over <= FEW * count
+        open_ = named.join(several.select("gram"), "gram")
         if last:
-            met = fit.select("gram", *side("a")).join(b, "gram").where(alike & (F.col("a") < F.col("b")))
+            # a pair meets in every key that both have: only the first of them makes it
+            open_ = shared.written(open_.join(classes.select("class", "prefix"), "class"))
+            first = F.array_min(F.array_intersect("prefix_a", "prefix_b")) == F.col("gram")
+            met = open_.select("gram", *side("a", "prefix")).join(open_.select(F.col("gram").alias("gram_b"), *side("b", "prefix")), (F.col("gram") == F.col("gram_b")) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & alike & first)
         else:
-            # the member that goes with most sizes leads, or later another one
-            order = [F.col("size") - F.col("reach"), F.xxhash64("class")] if not turn else [F.xxhash64(F.col("class"), F.lit(turn))]
-            lead = fit.groupBy("gram").agg(F.min_by(F.struct(*side("a")), F.struct(*order)).alias("lead")).select("gram", "lead.*")
-            met = b.join(lead, "gram").where(alike)
-        found = shared.written(_linked(met.select("a", "b").distinct(), parts, percent))
-        roots = connected(found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-        if last:
-            break
-    return _named(known, spark.createDataFrame([], "node long, root long") if roots is None else roots)
-
-
-def _named(known: DataFrame, roots: DataFrame) -> DataFrame:
+            open_ = shared.written(open_)
+            other = open_.groupBy("gram").agg(F.min_by(F.struct(*side("a")), F.xxhash64(F.col("class"), F.lit(turn))).alias("lead")).select("gram", "lead.*")
+            met = open_.select("gram", *side("b")).join(other, "gram").where(alike & (F.col("root_a") != F.col("root_b")))
     named = known.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     first = named.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return named.join(first, "root", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -54,7 +54,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqwell.llm.langid import fit, identify
 
     docs = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     model = fit(docs, usable=~held_out)
     return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
@@ -89,7 +89,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqwell.llm.toxicity import fit, score
 
     docs = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     model = fit(docs, table(spark, sf_dir, "labels"), usable=~held_out)
     return score(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
