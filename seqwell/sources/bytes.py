@@ -6,7 +6,7 @@ of an element is not touched. Everything is a call on a `Store` of ``u8`` variab
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqwell.errors import InvalidArgumentError
@@ -137,3 +137,16 @@ class ByteStore:
 
 def _collected(rows: DataFrame) -> bytes:
     return bytes(r[ELEM] for r in rows.orderBy(POS).select(ELEM).collect())
+
+
+def from_files(spark: SparkSession, path: str) -> DataFrame:
+    """The bytes of all files of `path`, one file after the other by name, as (pos, elem): a source for `insert` or `write`.
+
+    Where a file begins follows from the lengths alone, one row a file; contents are not gathered.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    first = files.select("path", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("first"))
+    number = F.conv(F.hex(F.substring("content", F.col("i").cast("int") + 1, F.lit(1))), 16, 10).cast("short")
+    every = files.where("length > 0").select("path", "content", F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("i"))
+    return every.join(first, "path").select((F.col("first") + F.col("i")).alias(POS), number.alias(ELEM))
