@@ -14,8 +14,8 @@ How hot groups are met:
   COMMON x (mean n-grams a text) of them: that bound makes the table of them fit a broadcast. They are not dealt to
   fragments; they come last in the global order.
 * Large groups of near copies. Pairs in a key's bucket are tried against one leader first. Members found to be connected
-  already need no further test, so a group of m near copies takes about m pairs, not m * m / 2. Members whose n-grams of
-  their own are too many for any size in the bucket leave it. Buckets that still hold several components get another
+  already need no further test, so a group of m near copies takes about m pairs, not m * m / 2. A pair's first key bounds
+  its overlap by what both have from there on; members that this parts from all others leave the bucket. Buckets that still hold several components get another
   leader, then every pair across components that is left. No bucket or partner is capped,
   and the components are those of all links.
 
@@ -186,13 +186,12 @@ def _fragment(key: tuple, rows: pa.Table) -> pa.Table:
 def _prefix(percent: int):
     """Of each class that can have a partner: its prefix, the rarest shared n-grams in the global order, and all its shared n-grams.
 
-    Only shared n-grams can be in an overlap, so a partner's set has at most `reach` n-grams: overlap >= percent / (100 + percent) * (sum of both sizes).
     The mass says how common a text's n-grams are on average: the text that others were made from has the most."""
-    kinds = pa.schema([("class", pa.int64()), ("size", pa.int64()), ("reach", pa.int64()), ("mass", pa.float64()), ("prefix", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64()))])
+    kinds = pa.schema([("class", pa.int64()), ("size", pa.int64()), ("mass", pa.float64()), ("prefix", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [])
             for name, size, parts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 grams, texts = [], []
                 common = np.zeros(0, dtype=np.uint32)
@@ -211,13 +210,12 @@ def _prefix(percent: int):
                 every = np.concatenate([gram[np.lexsort((gram, few))], -1 - np.sort(common).astype(np.int64)])
                 out[0].append(name)
                 out[1].append(size)
-                out[2].append((100 + percent) * len(every) // percent - size)
-                out[3].append((float(few.sum()) + float((common.astype(np.float64) + (1 << 20)).sum())) / size)
-                out[4].append(every[:length])
-                out[5].append(every)
+                out[2].append((float(few.sum()) + float((common.astype(np.float64) + (1 << 20)).sum())) / size)
+                out[3].append(every[:length])
+                out[4].append(every)
             yield pa.record_batch([pa.array(x, t) for x, t in zip(out, kinds.types, strict=True)], schema=kinds)
 
-    return run, "class long, size long, reach long, mass double, prefix array<long>, grams array<long>"
+    return run, "class long, size long, mass double, prefix array<long>, grams array<long>"
 
 
 def _linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
@@ -229,29 +227,31 @@ def _linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     return total.where(F.col("overlap") * 100 >= (F.col("size_a") + F.col("size_b") - F.col("overlap")) * percent).select("a", "b")
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def connected(edges: DataFrame, tables: shared.Tables | None = None) -> DataFrame:
     """The smallest node of each node's component, (node, root), by rounds of large and small stars over written tables."""
+    tables = tables or shared.Tables(edges.sparkSession)
     edges = edges.where("a <> b").select(F.least("a", "b").alias("root"), F.greatest("a", "b").alias("node")).distinct()
     while True:
         # large star: every larger neighbour of a node is linked with the node's smallest neighbour
         near = edges.unionByName(edges.select(F.col("node").alias("root"), F.col("root").alias("node")))
         least = near.groupBy("root").agg(F.min("node").alias("m")).select("root", F.least("root", "m").alias("m"))
-        large = shared.written(near.join(least, "root").where("node > root").select(F.col("m").alias("root"), "node").distinct())
+        large = tables.written(near.join(least, "root").where("node > root").select(F.col("m").alias("root"), "node").distinct())
         # small star: the smaller neighbours of a node are linked with the smallest of them
         low = large.groupBy("node").agg(F.min("root").alias("m"))
         small = large.join(low, "node").where("root <> m").select(F.col("m").alias("root"), F.col("root").alias("node"))
-        edges = shared.written(small.unionByName(low.select(F.col("m").alias("root"), "node")).distinct())
+        edges = tables.written(small.unionByName(low.select(F.col("m").alias("root"), "node")).distinct())
         # done when no node has two roots and no root is a node
         ends = edges.select("node", F.lit(1).alias("up")).unionByName(edges.select(F.col("root").alias("node"), F.lit(1 << 20).alias("up")).distinct())
         if ends.groupBy("node").agg(F.sum("up").alias("up")).where(f"up NOT IN (1, {1 << 20})").isEmpty():
-            return edges.select("node", "root")
+            return edges
 
 
 def components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of `docs`; texts are linked from a similarity of `percent` on."""
     spark = docs.sparkSession
+    tables = shared.Tables(spark)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    survey = shared.written(rows.mapInArrow(*_survey(n)))
+    survey = tables.written(rows.mapInArrow(*_survey(n)))
     known = survey.where("ngram IS NULL").select("doc_id", "size", "class")
     texts, grams = known.agg(F.count("class"), F.coalesce(F.sum("size"), F.lit(0))).first()
     # at most COMMON * (n-grams a text) rows, as said above
@@ -266,31 +266,35 @@ def components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: i
     dealt = rows.select("text").mapInArrow(*_deal(n, bits, common))
     held = dealt.groupBy("fragment").applyInArrow(_fragment, "class long, size long, fragment int, grams binary, texts binary")
     whole = held.groupBy("class").agg(F.max("size").alias("size"), F.collect_list(F.struct("fragment", "grams", "texts")).alias("parts"))
-    classes = shared.written(whole.select("class", "size", "parts").mapInArrow(*_prefix(percent)))
+    classes = tables.written(whole.select("class", "size", "parts").mapInArrow(*_prefix(percent)))
 
     part = lambda x: F.pmod(F.when(x < 0, -x).otherwise(F.shiftright(x, 32)), F.lit(PARTS))
     parts = classes.select("class", "size", "grams", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
     parts = parts.select("class", "size", "part", F.filter("grams", lambda x: part(x) == F.col("part")).alias("grams")).where(F.size("grams") > 0)
-    every = classes.select("class", "size", "reach", "mass", F.explode("prefix").alias("gram"))
+    # if a key is the first that a pair has in common, its overlap is at most what either has from there on, so a partner's
+    # set has at most `reach` n-grams: overlap >= percent / (100 + percent) * (sum of both sizes)
+    every = classes.select("class", "size", "mass", F.size("grams").alias("shared"), F.posexplode("prefix").alias("before", "gram"))
+    reach = F.floor((100 + percent) * (F.col("shared") - F.col("before")) / percent) - F.col("size")
+    every = every.select("gram", "class", "size", "mass", reach.alias("reach"))
     # of each bucket of several members the one of most mass as leader, and those members that some size in it can go with
     lead = F.max_by(F.struct(F.col("class").alias("a"), F.col("size").alias("size_a"), F.col("reach").alias("reach_a")), F.struct("mass", "class"))
     bucket = every.groupBy("gram").agg(F.count("*").alias("n"), F.min("size").alias("least"), F.max("reach").alias("most"), lead.alias("lead")).where("n > 1")
     keys = every.join(bucket, "gram").where((F.col("reach") >= F.col("least")) & (F.col("size") <= F.col("most")))
-    keys = shared.written(keys.select("gram", "class", "size", "reach", "lead.*"))
+    keys = tables.written(keys.select("gram", "class", "size", "reach", "lead.*"))
 
     alike = (F.col("size_a") <= F.col("reach_b")) & (F.col("size_b") <= F.col("reach_a"))
     side = lambda x, *more: [F.col("class").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("size", "reach", "root", *more))]
     met = keys.where("class <> a").select("a", "size_a", "reach_a", F.col("class").alias("b"), F.col("size").alias("size_b"), F.col("reach").alias("reach_b")).where(alike)
     count, roots, last = keys.count(), None, False
     for turn in range(LEADERS + 1):
-        found = shared.written(_linked(met.select("a", "b").distinct(), parts, percent))
-        roots = connected(found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        found = tables.written(_linked(met.select("a", "b").distinct(), parts, percent))
+        roots = connected(found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), tables)
         if last:
             break
         named = keys.select("gram", "class", "size", "reach").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
         by_root = named.groupBy("gram", "root").agg(F.count("*").alias("n"))
         several = by_root.groupBy("gram").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("roots")).where("roots > 1")
-        several = shared.written(several.select("gram", ((F.col("m") * F.col("m") - F.col("same")) / 2).alias("left_over")))
+        several = tables.written(several.select("gram", ((F.col("m") * F.col("m") - F.col("same")) / 2).alias("left_over")))
         left_over = several.agg(F.coalesce(F.sum("left_over"), F.lit(0.0))).first()[0]
         if not left_over:
             break
@@ -298,13 +302,14 @@ def components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: i
         open_ = named.join(several.select("gram"), "gram")
         if last:
             # a pair meets in every key that both have: only the first of them makes it
-            open_ = shared.written(open_.join(classes.select("class", "prefix"), "class"))
-            first = F.array_min(F.array_intersect("prefix_a", "prefix_b")) == F.col("gram")
+            open_ = tables.written(open_.join(classes.select("class", "prefix"), "class"))
+            first = F.get(F.array_intersect("prefix_a", "prefix_b"), F.lit(0)) == F.col("gram")
             met = open_.select("gram", *side("a", "prefix")).join(open_.select(F.col("gram").alias("gram_b"), *side("b", "prefix")), (F.col("gram") == F.col("gram_b")) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & alike & first)
         else:
-            open_ = shared.written(open_)
+            open_ = tables.written(open_)
             other = open_.groupBy("gram").agg(F.min_by(F.struct(*side("a")), F.xxhash64(F.col("class"), F.lit(turn))).alias("lead")).select("gram", "lead.*")
             met = open_.select("gram", *side("b")).join(other, "gram").where(alike & (F.col("root_a") != F.col("root_b")))
+    tables.keep(survey, roots)
     named = known.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     first = named.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return named.join(first, "root", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

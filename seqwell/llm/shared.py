@@ -18,9 +18,28 @@ def folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+class Tables:
+    """Tables in the shared folder: each computed once, so lineage is short and lost executors cost little. `keep` removes the others."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.at = spark, {}
+
+    def written(self, df: DataFrame) -> DataFrame:
+        path = f"{folder(self.spark)}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.at[path] = out
+        return out
+
+    def keep(self, *frames: DataFrame) -> None:
+        """Removes every table but `frames`; nothing that is still to run may read the others."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in [p for p, df in self.at.items() if not any(df is f for f in frames)]:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+            del self.at[path]
+
+
 def written(df: DataFrame) -> DataFrame:
-    """`df` as a table in the shared folder: computed once, short lineage, and safe when executors are lost."""
-    spark = df.sparkSession
-    path = f"{folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """`df` as a table that stays in the shared folder."""
+    return Tables(df.sparkSession).written(df)
