@@ -26,7 +26,7 @@ def touched(length: int, offset: int, stride: int, n: int | None) -> int:
 
 
 def div(a: Column, b: int) -> Column:
-    return a if b == 1 else F.call_function("floor", a / b).cast("long") if b > 1 << 52 else F.call_function("div", a, F.lit(b))
+    return a if b == 1 else F.call_function("div", a, F.lit(b))
 
 
 def _steps(offset: int, stride: int) -> Column:

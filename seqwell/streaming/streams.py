@@ -30,10 +30,12 @@ def _sink(store: Store, rows: DataFrame, stream_id: str, checkpoint: str, order:
                 tx.rollback()
                 return
             # positions within the batch, written once: the plan of a batch may be computed anew
-            kept = positioned(batch, order, elem, f"{store.path}/streams/{stream_id}/{number}-{uuid.uuid4().hex}")
+            at = f"streams/{stream_id}/{number}-{uuid.uuid4().hex}"
+            kept = positioned(batch, order, elem, f"{store.path}/{at}")
             work(tx, kept, done["rows"])
             tx.state["streams"][stream_id] = {"batch": number, "rows": done["rows"] + kept.count()}
             tx.notes.append(f"stream {stream_id} {number}")
+        store.root.delete(at)  # the variable has files of its own
 
     writer = rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
