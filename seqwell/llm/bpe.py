@@ -17,15 +17,16 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from seqwell.llm.words import tidy
+
 LONG = 64
 #: Pieces that a worker keeps the ids of, and pieces that are merged at once.
-CACHE, TOGETHER = 200_000, 20_000
+CACHE, TOGETHER = 120_000, 20_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -51,6 +52,11 @@ class Vocabulary:
         self.token_length = np.array([len(t) for t in token], dtype=np.int64)
         self.token_start = np.cumsum(self.token_length) - self.token_length
         self.token_bytes = np.frombuffer(b"".join(token), dtype=np.uint8)
+        self.known: dict[str, np.ndarray] = {}
+        self.slots: np.ndarray | None = None
+
+    def _pairs(self) -> None:
+        """The table of pairs, which only encoding needs."""
         pairs = [(self.ranks[t[:i]] * self.size + self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         key, rank = (np.array(x, dtype=np.int64) for x in zip(*pairs, strict=True))
         # open addressing, a quarter full at most; a slot without a key holds -1
@@ -64,13 +70,14 @@ class Vocabulary:
             self.slots[slot], self.merged[slot] = key[free[first]], rank[free[first]]
             left = self.slots[at] != key
             key, rank, at = key[left], rank[left], (at[left] + 1) & (len(self.slots) - 1)
-        self.known: dict[str, np.ndarray] = {}
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair joined, or NONE."""
+        if self.slots is None:
+            self._pairs()
         key = a.astype(np.int64) * self.size + b
         at = self._slot(key)
         found = self.slots[at]
@@ -176,13 +183,8 @@ class Vocabulary:
         return self.token_bytes[np.repeat(self.token_start[ids] - np.cumsum(n) + n, n) + np.arange(total)]
 
 
-@lru_cache(maxsize=2)
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
-
-
 #: Bytes of text, or ids, that are worked on at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def encode(docs: DataFrame, ranks: str, *, text: str = "text") -> DataFrame:
@@ -191,7 +193,7 @@ def encode(docs: DataFrame, ranks: str, *, text: str = "text") -> DataFrame:
     at = base.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = vocabulary(ranks)
+        own = Vocabulary(ranks)
         for batch in batches:
             sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).cumsum()
             row = 0
@@ -204,7 +206,7 @@ def encode(docs: DataFrame, ranks: str, *, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*some.columns, column], names=[*batch.schema.names, "ids"])
                 row = end
 
-    return base.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema] + ["ids array<int>"]))
+    return base.mapInArrow(tidy(run), ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema] + ["ids array<int>"]))
 
 
 def decode(encoded: DataFrame, ranks: str, *, ids: str = "ids") -> DataFrame:
@@ -213,7 +215,7 @@ def decode(encoded: DataFrame, ranks: str, *, ids: str = "ids") -> DataFrame:
     at = base.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = vocabulary(ranks)
+        own = Vocabulary(ranks)
         for batch in batches:
             out: list[bytes] = []
             for i in range(0, len(batch), 256):
@@ -231,4 +233,4 @@ def decode(encoded: DataFrame, ranks: str, *, ids: str = "ids") -> DataFrame:
                     k = to
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 
-    return base.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema] + ["decoded binary"]))
+    return base.mapInArrow(tidy(run), ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema] + ["decoded binary"]))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqwell.llm import shared
-from seqwell.llm.words import ALNUM, Block, blocks, mixed
+from seqwell.llm.words import ALNUM, Block, blocks, mixed, tidy
 
 PART_WORDS = 1 << 20
 
@@ -225,7 +225,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_key:
                 columns = [pa.array(n), pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))), pa.array(items, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *new])
 
-        own = base.mapInArrow(run, schema)
+        own = base.mapInArrow(tidy(run), schema)
         out = own if out is None else out.unionByName(own)
     if len(parts) == 1:
         return out
@@ -268,6 +268,6 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
                 texts = pa.array(new, texts.type)
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], texts, *batch.columns[at + 1 :]], names=batch.schema.names)
 
-    cut = found.mapInArrow(run, found.schema)
+    cut = found.mapInArrow(tidy(run), found.schema)
     gone = n_hit()
     return cut.select(*[F.col(f"`{c}`") for c in kept], gone.alias("n_cut"), (gone * 100 > F.col("n_words") * max_percent).alias("over_limit"))

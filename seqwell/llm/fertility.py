@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from seqwell.llm.words import BLOCK, arrow_bytes
+from seqwell.llm.words import BLOCK, arrow_bytes, tidy
 
 #: Bands by script, all inclusive: (least, most) characters per token of the piece vocabulary and of the byte-pair
 #: vocabulary, most byte-fallback share, least share of entropy. Scripts that a vocabulary knows badly have wider bands.
@@ -191,4 +191,4 @@ def measure(docs: DataFrame, *, text: str = "text", pieces: str | None = None, r
 
     kinds = ["long"] * len(BASE) + ["double"] * len(MEASURES) + ["string", "boolean", "boolean"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema] + [f"{c} {k}" for c, k in zip(new, kinds, strict=True)])
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(tidy(run), schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqwell.llm.words import arrow_bytes
+from seqwell.llm.words import arrow_bytes, tidy
 
 ORDER = 3
 #: Labelled rows that are learnt from, a language, and their length at most.
@@ -215,7 +215,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(per_byte)], names=[*batch.schema.names, "lang_pred", "score", "bits_per_byte"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema] + ["lang_pred string", "score double", "bits_per_byte double"])
-    out = base.mapInArrow(run, schema)
+    out = base.mapInArrow(tidy(run), schema)
     none = ~F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     out = out.withColumn("lang_pred", F.when(none, "und").otherwise(F.col("lang_pred"))).withColumn("score", F.when(none, 0.0).otherwise(F.col("score")))
     return out.withColumn("accepted", (F.col("lang_pred") != "und") & (F.col("bits_per_byte") <= MOST_BITS))

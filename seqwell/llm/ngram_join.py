@@ -34,12 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqwell.llm import shared
-from seqwell.llm.words import SPACED, blocks, mixed, windows
+from seqwell.llm.words import SPACED, blocks, mixed, tidy, windows
 
 #: An n-gram is common if one of so many texts has it.
 COMMON = 500
 #: N-grams that a fragment holds on average at most, and that a block of texts gathers before it is dealt to the fragments.
-FRAGMENT, GATHER = 1 << 21, 1 << 20
+FRAGMENT, GATHER = 1 << 21, 1 << 19
 #: Parts in which overlaps of a pair are counted.
 PARTS = 8
 #: Rounds of leaders before all pairs left are tried, and how many pairs a key may leave on average to be tried at once.
@@ -95,7 +95,7 @@ def _survey(n: int):
         if gathered:
             yield told(gathered)
 
-    return run, "doc_id long, size long, class long, ngram long, texts long"
+    return tidy(run), "doc_id long, size long, class long, ngram long, texts long"
 
 
 def _deal(n: int, bits: int, common):
@@ -142,7 +142,7 @@ def _deal(n: int, bits: int, common):
         if sets:
             yield from dealt(names, sizes, sets, turn)
 
-    return run, "fragment int, classes binary, sizes binary, counts binary, grams binary"
+    return tidy(run), "fragment int, classes binary, sizes binary, counts binary, grams binary"
 
 
 _SHARED = pa.schema([("class", pa.int64()), ("size", pa.int64()), ("fragment", pa.int32()), ("grams", pa.binary()), ("texts", pa.binary())])
@@ -215,7 +215,7 @@ def _prefix(percent: int):
                 out[4].append(every)
             yield pa.record_batch([pa.array(x, t) for x, t in zip(out, kinds.types, strict=True)], schema=kinds)
 
-    return run, "class long, size long, mass double, prefix array<long>, grams array<long>"
+    return tidy(run), "class long, size long, mass double, prefix array<long>, grams array<long>"
 
 
 def _linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:

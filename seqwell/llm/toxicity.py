@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqwell.llm.words import ALNUM, Block, blocks, mixed
+from seqwell.llm.words import ALNUM, Block, blocks, mixed, tidy
 
 BITS = 18
 #: Labelled rows that are learnt from, at most.
@@ -111,4 +111,4 @@ def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], names=[*batch.schema.names, "score"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema] + ["score double"])
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(tidy(run), schema)

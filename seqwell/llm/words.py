@@ -5,12 +5,14 @@ Texts are taken in blocks of about `BLOCK` bytes, so that what a block needs sta
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 #: ASCII lower case, byte by byte.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -53,6 +55,23 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """`run` for the batches of a partition, after which the worker gives back the memory it no longer uses: workers live on, beside those of later stages."""
+
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # not this C library
+
+    return outer
+
+
 class Block:
     """Neighbouring texts and their words. first: the row of the first text; at: where each text's words begin, of len(texts) + 1."""
 

@@ -26,7 +26,7 @@ def test_encoding_is_that_of_the_library(spark):
 
 
 def test_vocabulary():
-    v = bpe.vocabulary(bpe.default_ranks())
+    v = bpe.Vocabulary(bpe.default_ranks())
     with pytest.raises(ValueError):
         v.decode(np.array([v.size]))
     piece = b"abcabcabc" * 7
