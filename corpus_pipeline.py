@@ -36,11 +36,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near-duplicates."""
+    """Keeps one document of each group of near-duplicates: the one with the smallest doc_id, null last; of several the first by a hash of what they hold, then by row.
+
+    Every row is a document of its own, also with a null or repeated doc_id: a written row key tells them apart."""
     from seqwell.llm.ngram_join import components
 
-    first = components(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    rows = shared.written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")))
+    rank = F.struct(F.isnull("doc_id"), "doc_id", F.xxhash64("text", "lang", "source"), "_row")
+    group = components(rows, key="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    first = rows.select("_row", rank.alias("_rank")).join(group, "_row").groupBy("component_id").agg(F.min("_rank").alias("_first"))
+    return rows.join(first.select("_first._row"), "_row", "left_semi").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

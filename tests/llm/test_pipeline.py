@@ -1,9 +1,12 @@
 """Every stage of the pipeline against a brute-force version, and the queries' registration."""
 
+from collections import Counter
+
 import brute
 import corpus_pipeline
 import test_decontaminate
 import test_lines_and_chat
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from seqwell.llm import queries
@@ -49,6 +52,25 @@ def test_stage_columns_and_empty_tables(spark, tmp_path):
         assert out.count() == 0 and (k == 4 or out.columns == corpus_pipeline.COLUMNS)
 
 
+def test_join_keeps_one_document_a_group_whatever_the_ids(spark):
+    texts = [" ".join(f"{w}{k}" for k in range(40)) for w in "abcdefg"]
+    rows = [
+        (None, texts[0]),  # null and alone
+        (None, texts[1]), (None, texts[1]), (None, texts[1] + " more"),  # a group of null ids only
+        (7, texts[2]), (7, texts[3]),  # two texts under one id
+        (8, texts[4]), (None, texts[4]), (5, texts[4] + " more"),  # the smallest id stays, not the null one
+        (9, texts[5]), (9, texts[5] + " more"), (None, None), (None, ""), (3, None), (3, None),
+    ]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.ngram_join(spark, docs.repartition(3), "").collect()]
+    again = [(r.doc_id, r.text) for r in corpus_pipeline.ngram_join(spark, docs.orderBy(F.desc("text")).coalesce(1), "").collect()]
+    single = [(None, texts[0]), (7, texts[2]), (7, texts[3]), (5, texts[4] + " more"), (None, None), (None, ""), (3, None), (3, None)]
+    own = lambda w: [x for x in kept if (x[1] or "").startswith(w)]
+    assert all(kept.count(x) == single.count(x) for x in single) and len(kept) == len(single) + 2
+    assert len(own(texts[1])) == 1 and own(texts[1])[0][0] is None and len(own(texts[5])) == 1 and own(texts[5])[0][0] == 9
+    assert Counter(kept) == Counter(again)
+
+
 def test_registration():
     names = __spark_entry__.queries()
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
