@@ -5,14 +5,17 @@ context to the next shorter one (method C: a context seen n times with d distinc
 empty context escapes to all 256 bytes alike. A text's code length under a language is the sum of its bytes' code lengths,
 exactly; the shortest wins and the score is the posterior of the winner at even priors.
 
-The trees of all languages are merged to one table per order, from the hash of (context, byte) to the code length in every
-language, so that a text is scored by a few numpy lookups a byte. Its size is bounded by the training sample: `SAMPLE` rows
-a language at most, each of `LONGEST` characters at most, chosen by the hash of their id. Only training is bounded; every
-text is scored whole.
+The trees of `TABLE` languages are merged to one table per order, from the hash of (context, byte) to the code length in
+each of them, so that a text is scored by a few numpy lookups a byte; more languages take further tables. Code lengths are
+whole numbers of 1 / `UNIT` bits, so that their sums do not depend on what else is in a table. Every label is learnt. The
+size of a table is bounded by the training sample: `SAMPLE` rows a language at most, chosen by a hash of id and text, and
+`LONGEST` characters of each at most, of a longer text a stretch from a place that the hash gives. Only training is bounded;
+every text is scored whole.
 
 Defined results: a text that is null or has no letter is `und` with score 0; with nothing to learn from every text is
-`und`; rows with null lang or text are not learnt from; equal code lengths go to the first language by name; repeated rows
-are judged each alone; new columns replace those of the same name, others pass through.
+`und`; rows with null lang or text are not learnt from; equal code lengths go to the first language by name; rows of one id
+and text are learnt from once; repeated rows are judged each alone; new columns replace those of the same name, others pass
+through.
 """
 
 from __future__ import annotations
@@ -29,13 +32,15 @@ from pyspark.sql import functions as F
 from seqwell.llm.words import arrow_bytes, tidy
 
 ORDER = 3
-#: Labelled rows that are learnt from, a language, and their length at most.
+#: Labelled rows that are learnt from, a language, and the characters of each, at most.
 SAMPLE, LONGEST = 300, 8000
-#: Languages that are told apart, the most frequent ones, at most.
-LANGUAGES = 256
+#: Languages in a score table at most; it has a code length of every n-gram for each of them.
+TABLE = 16
+#: Code lengths are counted in so many parts of a bit.
+UNIT = 1 << 20
 #: Bits a byte, those of raw bytes, beyond which a text is no text of a learnt language.
 MOST_BITS = 8.0
-#: Code lengths that are held at once: bytes times languages.
+#: Code lengths that are held at once: bytes times languages of a table, or texts times languages.
 HELD = 1 << 21
 
 
@@ -62,6 +67,10 @@ def _inside(offsets: np.ndarray) -> np.ndarray:
     return np.arange(offsets[-1]) - np.repeat(offsets[:-1], np.diff(offsets))
 
 
+def _units(ratio: np.ndarray) -> np.ndarray:
+    return np.rint(np.log2(ratio) * UNIT).astype(np.int32)
+
+
 def learn(texts: dict[str, list[str]]) -> Model:
     langs = sorted(texts)
     counts: list[list[tuple[np.ndarray, np.ndarray]]] = []
@@ -73,20 +82,20 @@ def learn(texts: dict[str, list[str]]) -> Model:
     for k in range(ORDER + 1):
         every = np.unique(np.concatenate([np.zeros(0, dtype=np.uint32), *(c[k][0] for c in counts)]))
         over = np.unique(every >> np.uint32(8)) if k else np.zeros(1, dtype=np.uint32)
-        bit, escape = np.zeros((len(every), len(langs)), dtype=np.float32), np.zeros((len(over), len(langs)), dtype=np.float32)
+        bit, escape = np.zeros((len(every), len(langs)), dtype=np.int32), np.zeros((len(over), len(langs)), dtype=np.int32)
         for j, c in enumerate(counts):
             key, n = c[k]
             own, start = np.unique(key >> np.uint32(8), return_index=True)
             total = np.add.reduceat(n, start) if len(n) else np.zeros(0)
             kinds = np.diff(np.concatenate([start, [len(key)]]))
-            escape[np.searchsorted(over, own), j] = np.log2((total + kinds) / kinds)
+            escape[np.searchsorted(over, own), j] = _units((total + kinds) / kinds)
             seen = np.searchsorted(every, key)
             unseen = np.ones(len(every), dtype=bool)
             unseen[seen] = False
-            bit[seen, j] = np.log2(np.repeat(total + kinds, kinds) / n)
+            bit[seen, j] = _units(np.repeat(total + kinds, kinds) / n)
             rest = every[unseen]
             if k == 0:
-                bit[unseen, j] = escape[0, j] + 8 if len(key) else 8
+                bit[unseen, j] = escape[0, j] + 8 * UNIT
             else:
                 lower = bits[k - 1][np.searchsorted(keys[k - 1], rest & np.uint32((1 << 8 * k) - 1)), j]
                 bit[unseen, j] = escape[np.searchsorted(over, rest >> np.uint32(8)), j] + lower
@@ -140,7 +149,7 @@ class Scorer:
         """Bits of each text under each language."""
         m = self.model
         inside = np.minimum(_inside(offsets), ORDER)
-        bits = np.zeros((len(data) + 1, len(m.langs)), dtype=np.float32)
+        bits = np.zeros((len(data) + 1, len(m.langs)), dtype=np.int32)
         last = np.zeros(len(data), dtype=np.uint32)
         padded = np.concatenate([np.zeros(ORDER, dtype=np.uint8), data])
         for i in range(ORDER, -1, -1):
@@ -164,40 +173,52 @@ class Scorer:
                 context = self.context[k](key >> np.uint32(8))
                 bits[at[context >= 0]] += m.escapes[k][context[context >= 0]]
             else:
-                bits[at] += m.escapes[0][0] + np.float32(8)
+                bits[at] += m.escapes[0][0] + np.int32(8 * UNIT)
             order[own[~known]] = k - 1
-        total = np.add.reduceat(bits, np.minimum(offsets[:-1], len(data)), axis=0, dtype=np.float64)
+        total = np.add.reduceat(bits, np.minimum(offsets[:-1], len(data)), axis=0, dtype=np.int64)
         total[np.diff(offsets) == 0] = 0
-        return total
+        return total / UNIT
 
 
-def fit(docs: DataFrame, *, usable: Column | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """Learns from rows of `docs` for which `usable` (over columns of `docs`) holds."""
+def fit(docs: DataFrame, *, usable: Column | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, table: int = TABLE) -> list[Model]:
+    """Learns every language of the rows of `docs` for which `usable` (over columns of `docs`) holds: a model for each `table` of them."""
     rows = docs if usable is None else docs.where(usable)
     rows = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    # of about twice the rows wanted, by a hash of the id, the first ones; the counts tell how many hashes that takes
-    counts = rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()
-    if not counts:
-        return learn({})
+    # of about three times the rows wanted, by a hash of id and text, the first ones; the numbers of hashes tell how many that takes
     space = 1 << 30
-    at = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(space))
-    most = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(space, -(-space * 3 * sample // r["count"])))]), F.col(lang)), F.lit(0))
-    some = rows.where((at < most) & (F.length(text) <= LONGEST)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), at.alias("at"))
+    at = F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(text)), F.lit(space))
+    rows = rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), at.alias("at"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("at").alias("n")).collect()
+    if not counts:
+        return []
+    most = docs.sparkSession.createDataFrame([(r["lang"], min(space, -(-space * 3 * sample // max(1, r["n"])))) for r in counts], "lang string, most long")
+    place = F.pmod(F.xxhash64("at"), F.greatest(F.lit(1), F.length("text") - LONGEST + 1)) + 1
+    some = rows.join(F.broadcast(most), "lang").where(F.col("at") < F.col("most"))
+    some = some.select("lang", "at", F.substring("text", place.cast("int"), F.lit(LONGEST)).alias("text")).distinct()
     some = some.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("at", "text"))), 1, sample).alias("rows"))
-    return learn({r["lang"]: [x["text"] for x in r["rows"]] for r in some.toLocalIterator()})
+    models, texts = [], {}
+    for r in some.toLocalIterator():
+        texts[r["lang"]] = [x["text"] for x in r["rows"]]
+        if len(texts) == table:
+            models.append(learn(texts))
+            texts = {}
+    return [*models, learn(texts)] if texts else models
 
 
-def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, models: list[Model], *, text: str = "text") -> DataFrame:
     """`docs` with lang_pred, score, bits_per_byte, and accepted: whether a text is one of a learnt language."""
-    shown = docs.sparkSession.sparkContext.broadcast(model)
+    shown = [docs.sparkSession.sparkContext.broadcast(m) for m in models]
     new = ["lang_pred", "score", "bits_per_byte", "accepted"]
     base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new])
     at = base.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shown.value)
-        langs = np.array(shown.value.langs, dtype=object)
-        size = max(1 << 12, HELD // max(1, len(langs)))
+        scorers = [Scorer(m.value) for m in shown]
+        langs = np.array([x for s in scorers for x in s.model.langs], dtype=object)
+        by_name = np.argsort(langs, kind="stable")
+        langs = langs[by_name]
+        size = max(1 << 12, HELD // max([1, *(len(s.model.langs) for s in scorers)]))
+        most = max(1, HELD // max(1, len(langs)))
         for batch in batches:
             data, offsets = arrow_bytes(batch.column(at))
             n = len(batch)
@@ -205,7 +226,9 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
             row = 0
             while row < n and len(langs):
                 end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, side="right")) - 1)
-                bits = scorer.lengths(data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row])
+                end = min(end, row + most)
+                part, places = data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
+                bits = np.concatenate([s.lengths(part, places) for s in scorers], axis=1)[:, by_name]
                 best = bits.argmin(axis=1)
                 least = bits[np.arange(end - row), best]
                 lang[row:end] = langs[best]

@@ -43,6 +43,30 @@ def test_languages(spark):
     assert {r.lang_pred for r in nothing.collect()} == {"und"}
 
 
+def test_every_language_is_learnt(spark):
+    rng = random.Random(5)
+    long = [(i, prose(rng, "aa", 2500), "aa") for i in range(4)]
+    assert all(len(t) > langid.LONGEST for _, t, _ in long)
+    # all of one id, or of none
+    short = [(None, prose(rng, "bb", 40), "bb") for _ in range(30)] + [(7, prose(rng, "cc", 40), "cc") for _ in range(30)]
+    odd = [(100 + i, f"{chr(0x4E00 + i)}{chr(0x4E00 + i)} " * 20, f"x{i:03}") for i in range(270)]
+    docs = spark.createDataFrame(long + short + odd, "doc_id long, text string, lang string")
+    models = langid.fit(docs)
+    assert sorted(x for m in models for x in m.langs) == sorted({r[2] for r in long + short + odd})
+    assert all(len(m.langs) <= langid.TABLE for m in models)
+    assert all(r.lang_pred == r.lang and r.accepted for r in langid.identify(docs, models).collect())
+
+
+def test_tables_do_not_change_code_lengths(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, lang, 30), f"{lang}{i % 2}") for i, lang in enumerate(["aa", "bb", "cc"] * 20)]
+    # two languages of the same texts: the first by name
+    rows += [(1000 + i, rows[i][1], f"a-{rows[i][2]}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, many = (sorted(map(tuple, langid.identify(docs, langid.fit(docs, table=k)).collect()), key=str) for k in (100, 1))
+    assert one == many and all(r[3].startswith("a-") for r in one)
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(3)
     bad = ["fool", "idiot", "scum"]
