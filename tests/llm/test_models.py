@@ -113,6 +113,20 @@ def test_urls(spark):
         url_filter.train([("http://x/", 0)] * (url_filter.MOST_LABELLED + 1))
 
 
+def test_url_model_does_not_know_the_hosts_of_the_tables(spark):
+    known = {h for hosts in url_filter.LABELLED_HOSTS.values() for h in hosts.split()}
+    hosts = [r.host for sf in ("sf0.001", "sf0.01", "sf0.1") for r in spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").select(url_filter.parts(F.col("url"))[0].alias("host")).distinct().collect()]
+    assert hosts and not known & {x for h in hosts for x in h.split(".")}
+    found = url_filter.held_out()
+    assert {k: n for k, (n, _) in found.items()} == {k: len(v.split()) for k, v in url_filter.LABELLED_HOSTS.items()}
+    assert found[1][1] >= 0.8 * found[1][0] and found[0][1] <= 0.15 * found[0][0]
+
+
+def test_url_host_without_prefix_and_ending():
+    one = set(url_filter.grams("casino.example.com", "/"))
+    assert all(set(url_filter.grams(h, "/")) == one for h in ("casino.com", "www.casino.com", "m.casino.co.uk", "blog.casino.example.org"))
+
+
 def base(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
