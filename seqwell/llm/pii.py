@@ -1,18 +1,24 @@
 """Format-preserving pseudonyms for personal data by keyed Feistel permutations, in DataFrame functions only.
 
 Found and, where they have a rule, validated: card numbers (Luhn), IBANs (mod 97), social security numbers (area, group,
-serial), IPv4 addresses (octets), dates from 1600 to 2399 (calendar), phone numbers with a country code, e-mail addresses.
-What fails its validation is left as it is. Each value is permuted within its format by `ROUNDS` Feistel rounds whose
+serial), IPv4 addresses (octets), dates from 1600 to 2399 (calendar), phone numbers with a country code or in a national form
+(an area code in brackets or with - or . after it, or a leading 0), e-mail addresses whose local part has 64 characters at
+most. What fails its validation is left as it is. Each value is permuted within its format by `ROUNDS` Feistel rounds whose
 function is SHA-256 under a secret key, so an equal value gets an equal pseudonym in every document, different values get
 different ones, and the result passes the same validation:
 
-* characters, each within its class (digits, ASCII letters by case, Latin-1 letters by case), halves of the string taking
-  turns: cards without their first and check digit, IBANs' own digits, phone numbers after the country code, the local part
-  of e-mail addresses; check digits are computed anew;
+* characters, each within its class (digits, ASCII and Latin-1 letters by case, letters of further scripts), halves of the
+  string taking turns: cards without their first and check digit, IBANs' own digits, phone numbers after the country code
+  or the first digit, the local part of e-mail addresses (one without a character of a class is left alone and not
+  counted); check digits are computed anew;
 * numbers in a product domain: IPv4 65536 x 65536, SSN 898 x (99 * 9999), the days of 400 years 189 x 773.
 
+A pattern begins only where its run of characters begins, its quantifiers are bounded or possessive: each text takes time
+in proportion to its length and the matcher does not recurse, however long a domain or a run of letters or digits is.
+
 Defined results: null stays null, a text without a find is returned as it is; nothing depends on other rows, so repeated
-rows, ties and empty tables need no care; new columns replace those of the same name, others pass through.
+rows, ties and empty tables need no care; very long texts are treated whole; new columns replace those of the same name,
+others pass through.
 """
 
 from __future__ import annotations
@@ -25,17 +31,22 @@ KINDS = ["email", "iban", "ip", "date", "ssn", "phone", "card"]
 #: What may stand before and after a number.
 _A, _Z = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 PATTERNS = {
-    "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
     "iban": _A + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _Z,
     "ip": r"(?<![\p{L}\p{N}.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])(?!\p{L})",
     "date": _A + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}([./])[0-9]{2}\1[0-9]{4})" + _Z,
     "ssn": _A + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _Z,
-    "phone": r"(?<![\p{L}\p{N}+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}" + _Z,
-    "card": _A + r"(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\3[0-9]{5})" + _Z,
+    "phone": r"(?<![\p{L}\p{N}+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}" + _Z
+    + r"|(?<![\p{L}\p{N}+.-])(?:\([2-9][0-9]{2}\) ?[0-9]{3}[ .-][0-9]{4}|[2-9][0-9]{2}([.-])[0-9]{3}\2[0-9]{4}|0[1-9][0-9]{1,3}[ /-][0-9]{3,4}[ -]?[0-9]{3,4})(?![ /.-]?[\p{N}])(?!\p{L})",
+    "card": _A + r"(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\3[0-9]{4}\3[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\4[0-9]{5})" + _Z,
 }
 ANY = "|".join(PATTERNS[k] for k in KINDS)
-#: Character classes within which a character is permuted: first code point and size.
-CLASSES = [(0x30, 10), (0x41, 26), (0x61, 26), (0xC0, 23), (0xD8, 7), (0xE0, 23), (0xF8, 8)]
+#: Character classes within which a character is permuted: first code point and size. Digits, then letters: ASCII and Latin-1
+#: by case, Latin extended, Greek and Cyrillic by case, Armenian, Hebrew, Arabic, Devanagari, Thai, Georgian, kana, Han, Hangul.
+CLASSES = [
+    (0x30, 10), (0x41, 26), (0x61, 26), (0xC0, 23), (0xD8, 7), (0xE0, 23), (0xF8, 8), (0x100, 128), (0x391, 17), (0x3A3, 7), (0x3B1, 25), (0x410, 32), (0x430, 32),
+    (0x531, 38), (0x561, 38), (0x5D0, 27), (0x621, 26), (0x641, 10), (0x905, 53), (0xE01, 46), (0x10D0, 33), (0x3041, 86), (0x30A1, 90), (0x4E00, 20902), (0xAC00, 11172),
+]
 
 
 def _number(hex_digits: Column) -> Column:
@@ -57,13 +68,18 @@ def product(left: Column, right: Column, a: int, b: int, key: str, kind: str) ->
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn)
 
 
-def characters(text: Column, key: str, kind: str) -> Column:
+def _letter(point: Column) -> Column:
+    """The character of a code point below 65536."""
+    return F.when(point < 256, F.char(point)).otherwise(F.decode(F.unhex(F.lpad(F.hex(point), 4, "0")), "UTF-16BE"))
+
+
+def characters(text: Column, key: str, kind: str, classes: list[tuple[int, int]] = CLASSES) -> Column:
     """`text`, its characters permuted within their classes; others stay."""
 
     def known(c: Column) -> Column:
         point = F.ascii(c)
         first, size = F.lit(0), F.lit(0)
-        for a, n in CLASSES:
+        for a, n in classes:
             inside = (point >= a) & (point < a + n)
             first, size = F.when(inside, a).otherwise(first), F.when(inside, n).otherwise(size)
         return F.struct((point - first).alias("v"), first.alias("first"), size.alias("size"), c.alias("c"))
@@ -96,7 +112,7 @@ def characters(text: Column, key: str, kind: str) -> Column:
 
         def put(s: Column, x: Column) -> Column:
             own = F.get(pair["new"], s["k"])
-            return F.struct(F.concat(s["out"], F.when(x["size"] > 0, F.char(own["v"] + own["first"])).otherwise(x["c"])).alias("out"), (s["k"] + (x["size"] > 0).cast("int")).alias("k"))
+            return F.struct(F.concat(s["out"], F.when(x["size"] > 0, _letter(own["v"] + own["first"])).otherwise(x["c"])).alias("out"), (s["k"] + (x["size"] > 0).cast("int")).alias("k"))
 
         return F.aggregate(pair["old"], start, put, lambda s: s["out"])
 
@@ -149,10 +165,12 @@ def _dates(x: Column) -> tuple[Column, Column, Column]:
 
 def pseudonym(x: Column, key: str) -> Column:
     """Struct kind, new of a find; kind is null if it is not valid, new is then the find itself."""
-    whole = {k: x.rlike(f"^(?:{p})$") for k, p in (("email", ".*@.*"), ("ip", r"[0-9]{1,3}(\.[0-9]{1,3}){3}"), ("date", r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4}"), ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), ("phone", r"\+.*"), ("iban", r"[A-Z]{2}.*"), ("card", r"[0-9 -]*"))}
+    whole = {k: x.rlike(f"^(?:{p})$") for k, p in (("email", ".*@.*"), ("ip", r"[0-9]{1,3}(\.[0-9]{1,3}){3}"), ("date", r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4}"), ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), ("phone", r"\+.*|\(.*|[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}|0[1-9][0-9]{1,3}[ /-][0-9]{3,4}[ -]?[0-9]{3,4}"), ("iban", r"[A-Z]{2}.*"), ("card", r"[0-9 -]*"))}
     octet = lambda i: F.element_at(F.split(x, r"\."), i).cast("int")
     at = F.instr(x, "@")
-    email = F.concat(characters(F.substring(x, F.lit(1), at - 1), key, "email"), F.substring(x, at, F.length(x)))
+    local = F.substring(x, F.lit(1), at - 1)
+    email = F.concat(characters(local, key, "email"), F.substring(x, at, F.length(x)))
+    email_valid = local.rlike("[" + "".join(f"\\x{{{a:x}}}-\\x{{{a + n - 1:x}}}" for a, n in CLASSES) + "]")
 
     ip = product(octet(1) * 256 + octet(2), octet(3) * 256 + octet(4), 65536, 65536, key, "ip")
     ip = F.get(F.transform(F.array(ip), lambda p: F.concat_ws(".", F.floor(p["l"] / 256).cast("string"), (p["l"] % 256).cast("string"), F.floor(p["r"] / 256).cast("string"), (p["r"] % 256).cast("string"))), F.lit(0))
@@ -185,13 +203,13 @@ def pseudonym(x: Column, key: str) -> Column:
     ssn = F.get(F.transform(F.array(ssn), ssn_text), F.lit(0))
 
     code = _part(x, r"^(\+[0-9]{1,3})", 1)
-    code = F.when(x.rlike(r"^\+[0-9]{1,3}[ .(-]"), code).otherwise(F.substring(x, 1, 2))
+    code = F.when(x.rlike(r"^\+[0-9]{1,3}[ .(-]"), code).otherwise(F.substring(x, F.lit(1), F.when(x.rlike("^[1-9]"), 1).otherwise(2)))
     rest = F.substring(x, F.length(code) + 1, F.length(x))
-    phone = F.concat(code, refilled(rest, characters(digits(rest), key, "phone")))
+    phone = F.concat(code, refilled(rest, characters(digits(rest), key, "phone", CLASSES[:1])))
     phone_valid = F.length(digits(x)).between(8, 15)
 
     number = digits(x)
-    payload = characters(F.substring(number, F.lit(2), F.length(number) - 2), key, "card")
+    payload = characters(F.substring(number, F.lit(2), F.length(number) - 2), key, "card", CLASSES[:1])
     card = F.get(F.transform(F.array(F.concat(F.substring(number, 1, 1), payload)), lambda n: F.concat(n, ((10 - luhn(n, 1)) % 10).cast("string"))), F.lit(0))
     card = F.get(F.transform(F.array(card), lambda n: refilled(x, n)), F.lit(0))
 
@@ -199,11 +217,11 @@ def pseudonym(x: Column, key: str) -> Column:
     own = F.substring(plain, F.lit(5), F.length(plain))
     country = F.substring(plain, 1, 2)
     iban_valid = mod97(F.concat(own, F.substring(plain, 1, 4))) == 1
-    new_own = refilled(own, characters(digits(own), key, "iban"))
+    new_own = refilled(own, characters(digits(own), key, "iban", CLASSES[:1]))
     iban = F.get(F.transform(F.array(new_own), lambda o: F.concat(country, F.lpad((98 - mod97(F.concat(o, country, F.lit("00")))).cast("string"), 2, "0"), o)), F.lit(0))
     iban = F.get(F.transform(F.array(iban), lambda i: refilled(x, digits(i))), F.lit(0))
 
-    made = {"email": (F.lit(True), email), "ip": (ip_valid, ip), "date": (date.isNotNull(), dated), "ssn": (ssn_valid, ssn), "phone": (phone_valid, phone), "iban": (iban_valid, iban), "card": (luhn(number) == 0, card)}
+    made = {"email": (email_valid, email), "ip": (ip_valid, ip), "date": (date.isNotNull(), dated), "ssn": (ssn_valid, ssn), "phone": (phone_valid, phone), "iban": (iban_valid, iban), "card": (luhn(number) == 0, card)}
     kind, new = F.lit(None).cast("string"), x
     for k in reversed(list(whole)):
         valid, text = made[k]
