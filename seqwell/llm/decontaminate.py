@@ -6,97 +6,129 @@ last `window` words are a hit, and an item of fewer words is a hit as a whole. T
 Only stretches whose neighbouring words are also neighbours in some item are streamed, found with numpy: no match can
 leave such a stretch.
 
-Items are a reference set: they are sorted, cut into parts of `PART_WORDS` words at most, and one automaton of that proven
-size is broadcast per part; each part reads all texts, and the parts' hits are merged by document. One part needs no merge.
+Items are a reference set: they are sorted and cut into parts of `PART_WORDS` words at most, a longer item into pieces that
+share `window` - 1 words. A part's automaton is arrays whose size is in proportion to its words (`ROOM` bytes a word at most):
+an item is listed once for each of its windows, not at every state. It is broadcast, and a worker holds one part at a time;
+each batch of texts is read once and goes through all parts, whose hits are merged in place.
 
 Defined results: a null text has no words and no hit and stays null; an empty benchmark hits nothing; a null item_id marks
-words but is not listed; items without words are ignored; repeated rows are judged each alone; in the output a new column
-replaces one of the same name, other columns pass through.
+words but is not listed; items without words are ignored; repeated rows are judged each alone, very long texts whole; item
+ids may be of any type that sorts; in the output a new column replaces one of the same name, other columns pass through.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from seqwell.llm import shared
 from seqwell.llm.words import ALNUM, Block, blocks, mixed, tidy
 
-PART_WORDS = 1 << 20
+PART_WORDS = 1 << 18
+#: Bytes of an automaton a word of its items, at most: 2 states of 16, 3 transitions of 12, a word and a pair of 8, 20 for the items.
+ROOM = 104
 
 
 class Automaton:
-    """Suffix automaton of several word lists. Bit i of a mask stands for item i."""
+    """Suffix automaton of several word lists, as arrays. names: what each list is called; several may share a name."""
 
-    def __init__(self, items: list[np.ndarray], window: int) -> None:
-        self.window = window
+    def __init__(self, items: list[np.ndarray], window: int, names: list | None = None) -> None:
+        self.window, self.names = window, list(range(len(items))) if names is None else names
         every = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *items]))
         self.words = every
-        self.first_bits = np.zeros(1 << 16, dtype=bool)
-        self.first_bits[(every & np.uint64(0xFFFF)).astype(np.int64)] = True
         pairs = [mixed(x[:-1] + mixed(x[1:])) for x in items if len(x) > 1]
         self.pairs = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *pairs]))
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.len = [-1], [0]
         lists = [np.searchsorted(every, x).tolist() for x in items]
+        self._build(lists)
+        self.least = min([window, *(len(x) for x in lists)])
+
+    def _build(self, lists: list[list[int]]) -> None:
+        width = max(1, len(self.words))
+        nxt: dict[int, int] = {}
+        after: list[list[int]] = [[]]
+        link, length = [-1], [0]
+
+        def made(size: int, up: int, words: list[int]) -> int:
+            after.append(words)
+            length.append(size)
+            link.append(up)
+            return len(length) - 1
+
+        def split(p: int, c: int, q: int) -> int:
+            """A state for what p and c make, out of q, whose longest string is longer."""
+            new = made(length[p] + 1, link[q], list(after[q]))
+            for x in after[q]:
+                nxt[new * width + x] = nxt[q * width + x]
+            link[q] = new
+            while p >= 0 and nxt.get(p * width + c) == q:
+                nxt[p * width + c] = new
+                p = link[p]
+            return new
+
         for x in lists:
             last = 0
             for c in x:
-                last = self._extend(last, c)
-        mask = [0] * len(self.len)
-        short: list[list[tuple[int, int]]] = [[] for _ in self.len]
+                q = nxt.get(last * width + c)
+                if q is not None:
+                    last = q if length[q] == length[last] + 1 else split(last, c, q)
+                    continue
+                p, new = last, made(length[last] + 1, 0, [])
+                while p >= 0 and p * width + c not in nxt:
+                    nxt[p * width + c] = new
+                    after[p].append(c)
+                    p = link[p]
+                if p >= 0:
+                    q = nxt[p * width + c]
+                    link[new] = q if length[q] == length[p] + 1 else split(p, c, q)
+                last = new
+        del after
+        # of each state that can match `window` words the one that stands for its last `window` words
+        top, window = [-1] * len(length), self.window
+        order = sorted(range(1, len(length)), key=length.__getitem__)
+        for s in order:
+            if length[s] >= window:
+                top[s] = s if length[link[s]] < window else top[link[s]]
+        holds: set[tuple[int, int]] = set()
+        short: list[tuple[int, int, int]] = []
         for i, x in enumerate(lists):
             s = 0
-            for c in x:
-                s = self.next[s][c]
-                mask[s] |= 1 << i
+            for n, c in enumerate(x, 1):
+                s = nxt[s * width + c]
+                if n >= window:
+                    holds.add((top[s], i))
             if 0 < len(x) < window:
-                short[s].append((len(x), 1 << i))
-        order = sorted(range(1, len(self.len)), key=self.len.__getitem__)
-        for s in reversed(order):
-            mask[self.link[s]] |= mask[s]
-        # of each state that can match `window` words: the items that hold its last `window` words
-        self.holds, self.short = [0] * len(self.len), short
+                short.append((s, len(x), i))
+        at = np.array(sorted(holds), dtype=np.int32).reshape(-1, 2)
+        self.held, self.items = at[:, 0], at[:, 1]
+        # items of fewer words: where each ends, and of each state the nearest one at or above it that ends some
+        self.short = np.array(sorted(short), dtype=np.int32).reshape(-1, 3)
+        ends, near = {s for s, _, _ in short}, [0] * len(length)
         for s in order:
-            parent = self.link[s]
-            if self.len[s] >= window:
-                self.holds[s] = self.holds[parent] if self.len[parent] >= window else mask[s]
-            short[s].extend(short[parent])
-        self.least = min([window, *(len(x) for x in lists)])
-
-    def _extend(self, last: int, c: int) -> int:
-        nxt, link, length = self.next, self.link, self.len
-        if c in nxt[last]:
-            q = nxt[last][c]
-            return q if length[q] == length[last] + 1 else self._clone(last, c, q)
-        new = len(length)
-        nxt.append({})
-        length.append(length[last] + 1)
-        link.append(0)
-        p = last
-        while p >= 0 and c not in nxt[p]:
-            nxt[p][c] = new
-            p = link[p]
-        if p >= 0:
-            q = nxt[p][c]
-            link[new] = q if length[q] == length[p] + 1 else self._clone(p, c, q)
-        return new
-
-    def _clone(self, p: int, c: int, q: int) -> int:
-        nxt, link, length = self.next, self.link, self.len
-        new = len(length)
-        nxt.append(dict(nxt[q]))
-        length.append(length[p] + 1)
-        link.append(link[q])
-        link[q] = new
-        while p >= 0 and nxt[p].get(c) == q:
-            nxt[p][c] = new
-            p = link[p]
-        return new
+            near[s] = s if s in ends else near[link[s]]
+        self.link, self.length, self.top, self.near = (np.array(x, dtype=np.int32) for x in (link, length, top, near))
+        self.step = np.fromiter(nxt.keys(), dtype=np.int64, count=len(nxt))
+        self.to = np.fromiter(nxt.values(), dtype=np.int32, count=len(nxt))
+
+    def size(self) -> int:
+        """Bytes of the arrays."""
+        return sum(x.nbytes for x in vars(self).values() if isinstance(x, np.ndarray))
+
+    def ready(self) -> Automaton:
+        """With the forms that reading wants, which are not sent."""
+        if not hasattr(self, "go"):
+            self.go = dict(zip(self.step.tolist(), self.to.tolist(), strict=True))
+            self.up, self.long, self.tops, self.nears = (array("i", x.tobytes()) for x in (self.link, self.length, self.top, self.near))
+            self.first_bits = np.zeros(1 << 16, dtype=bool)
+            self.first_bits[(self.words & np.uint64(0xFFFF)).astype(np.int64)] = True
+            self.ending: dict[int, list[tuple[int, int]]] = {}
+            for s, n, i in self.short.tolist():
+                self.ending.setdefault(s, []).append((n, i))
+        return self
 
     def stretches(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Begin and end of each run of words that can hold a match, and all words' numbers (-1: in no item)."""
@@ -120,10 +152,10 @@ class Automaton:
         long = stop - start >= self.least
         return start[long], stop[long], number
 
-    def stream(self, numbers: list[int]) -> tuple[list[tuple[int, int]], int]:
-        """Hit spans [begin, end) of a stretch, merged, and the mask of their items."""
-        nxt, link, length, window = self.next, self.link, self.len, self.window
-        s = n = items = 0
+    def stream(self, numbers: list[int], tops: set[int], items: set[int]) -> list[tuple[int, int]]:
+        """Hit spans [begin, end) of a stretch, merged; adds the windows met to `tops` and short items to `items`."""
+        go, up, long, window, width = self.go, self.up, self.long, self.window, max(1, len(self.words))
+        s = n = 0
         hits: list[tuple[int, int]] = []
 
         def hit(begin: int, end: int) -> None:
@@ -132,37 +164,57 @@ class Automaton:
             hits.append((begin, end))
 
         for i, c in enumerate(numbers):
-            while s and c not in nxt[s]:
-                s = link[s]
-                n = length[s]
-            if c in nxt[s]:
-                s = nxt[s][c]
+            while s and s * width + c not in go:
+                s = up[s]
+                n = long[s]
+            t = go.get(s * width + c)
+            if t is not None:
+                s = t
                 n += 1
             if n >= window:
-                items |= self.holds[s]
+                tops.add(self.tops[s])
                 hit(i + 1 - window, i + 1)
-            for size, bit in self.short[s]:
-                if n >= size:
-                    items |= bit
-                    hit(i + 1 - size, i + 1)
-        return hits, items
-
-    def read(self, block: Block) -> tuple[dict[int, list[tuple[int, int]]], dict[int, int]]:
-        """Hit spans and item masks by text of the block; spans count words from the text's first."""
+            x = self.nears[s]
+            while x:
+                for size, item in self.ending[x]:
+                    if n >= size:
+                        items.add(item)
+                        hit(i + 1 - size, i + 1)
+                x = self.nears[up[x]]
+        return hits
+
+    def read(self, block: Block) -> dict[int, tuple[list[tuple[int, int]], set]]:
+        """By text of the block its hit spans, in words from the text's first, and the names of the items hit."""
+        self.ready()
         spans: dict[int, list[tuple[int, int]]] = {}
-        items: dict[int, int] = {}
+        tops: dict[int, set[int]] = {}
+        items: dict[int, set[int]] = {}
         start, stop, number = self.stretches(block)
         text = np.searchsorted(block.at, start, side="right") - 1
         for t, a, b in zip(text.tolist(), start.tolist(), stop.tolist(), strict=True):
-            hits, mask = self.stream(number[a:b].tolist())
-            if hits:
-                base = a - int(block.at[t])
-                own = spans.setdefault(t, [])
-                for x, y in hits:
-                    begin = own.pop()[0] if own and own[-1][1] == x + base else x + base
-                    own.append((begin, y + base))
-                items[t] = items.get(t, 0) | mask
-        return spans, items
+            hits = self.stream(number[a:b].tolist(), tops.setdefault(t, set()), items.setdefault(t, set()))
+            base = a - int(block.at[t])
+            spans.setdefault(t, []).extend((x + base, y + base) for x, y in hits)
+        out = {}
+        for t, own in spans.items():
+            if own:
+                found = np.array(sorted(tops[t]), dtype=np.int32)
+                begin, end = np.searchsorted(self.held, found, side="left"), np.searchsorted(self.held, found, side="right")
+                for a, b in zip(begin.tolist(), end.tolist(), strict=True):
+                    items[t].update(self.items[a:b].tolist())
+                out[t] = (own, {self.names[i] for i in items[t]})
+        return out
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that touch or overlap made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def _item_words(texts: list[str | None]) -> list[np.ndarray]:
@@ -173,23 +225,31 @@ def _item_words(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
-def automata(benchmark: DataFrame, window: int, key: str, text: str) -> list[tuple[object, list]]:
-    """Broadcast automata and the item ids of their bits, one for each part of the items."""
-    sc, parts, held = benchmark.sparkSession.sparkContext, [], []
+def automata(benchmark: DataFrame, window: int, key: str, text: str) -> list:
+    """Broadcast automata, one for each part of the items."""
+    sc, parts = benchmark.sparkSession.sparkContext, []
     rows = benchmark.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull()).orderBy("k", "t")
+    held: list[tuple[object, np.ndarray]] = []
 
     def close() -> None:
-        own = _item_words([t for _, t in held])
-        some = [i for i, x in enumerate(own) if len(x)]
-        parts.append((sc.broadcast(Automaton([own[i] for i in some], window)), [held[i][0] for i in some]))
+        parts.append(sc.broadcast(Automaton([x for _, x in held], window, [k for k, _ in held])))
+        held.clear()
 
     size = 0
     for k, t in rows.toLocalIterator():
-        held.append((k, t))
-        size += len(t) // 2 + 1
-        if size >= PART_WORDS:
-            close()
-            held, size = [], 0
+        (own,) = _item_words([t])
+        start = 0
+        while start < len(own):
+            if size >= PART_WORDS:
+                close()
+                size = 0
+            piece = own[start : start + max(window, PART_WORDS - size)]
+            # what is left over is never shorter than a window, so no piece counts as a short item
+            held.append((k, piece))
+            size += len(piece)
+            start += len(piece)
+            if start < len(own):
+                start -= window - 1
     if held or not parts:
         close()
     return parts
@@ -200,43 +260,37 @@ SPANS = "array<struct<begin:int,end:int>>"
 
 def hits(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
     """`docs` with n_words (long), hits (spans [begin, end) of words, merged) and items (sorted ids of the items hit)."""
-    new = {"n_words": "long", "hits": SPANS, "items": "array<long>"}
-    kept = [c for c in docs.columns if c not in new]
-    at = kept.index(text)
-    base = docs.select(*[F.col(f"`{c}`") for c in kept])
+    kind = benchmark.schema[item_key].dataType
+    new = {"n_words": "long", "hits": SPANS, "items": f"array<{kind.simpleString()}>"}
+    base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new])
+    at = base.columns.index(text)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema] + [f"{k} {v}" for k, v in new.items()])
-    out = None
     parts = automata(benchmark, window, item_key, item_text)
-    if len(parts) > 1:
-        base = base.withColumn("_row", F.monotonically_increasing_id())
-        base, schema = shared.written(base), schema.replace("n_words", "_row long, n_words", 1)
-    for shown, ids in parts:
-
-        def run(batches: Iterator[pa.RecordBatch], shown=shown, ids=ids) -> Iterator[pa.RecordBatch]:
-            automaton = shown.value
-            for batch in batches:
-                n, spans, items = np.zeros(len(batch), dtype=np.int64), [[]] * len(batch), [[]] * len(batch)
+    item = to_arrow_type(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.zeros(len(batch), dtype=np.int64)
+            found: dict[int, tuple[list[tuple[int, int]], set]] = {}
+            for k, shown in enumerate(parts):
+                automaton = shown.value
                 for block in blocks(batch.column(at), ALNUM):
-                    n[block.first : block.first + block.n] = np.diff(block.at)
-                    found, masks = automaton.read(block)
-                    for t, own in found.items():
-                        spans[block.first + t] = [{"begin": a, "end": b} for a, b in own]
-                        items[block.first + t] = sorted({ids[i] for i in range(masks[t].bit_length()) if masks[t] >> i & 1} - {None})
-                columns = [pa.array(n), pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))), pa.array(items, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *new])
-
-        own = base.mapInArrow(tidy(run), schema)
-        out = own if out is None else out.unionByName(own)
-    if len(parts) == 1:
-        return out
-    first = [F.first(F.struct(*[F.col(f"`{c}`") for c in kept])).alias("row"), F.first("n_words").alias("n_words")]
-    met = out.groupBy("_row").agg(*first, F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    whole = F.aggregate(
-        "hits",
-        F.array().cast(SPANS),
-        lambda done, x: F.when((F.size(done) > 0) & (F.element_at(done, -1)["end"] >= x["begin"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["begin"].alias("begin"), F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(done, F.array(x))),
-    )
-    return met.select("row.*", "n_words", whole.alias("hits"), "items")
+                    if k == 0:
+                        n[block.first : block.first + block.n] = np.diff(block.at)
+                    for t, (spans, items) in automaton.read(block).items():
+                        own = found.setdefault(block.first + t, ([], set()))
+                        own[0].extend(spans)
+                        own[1].update(items)
+                if len(parts) > 1:
+                    del automaton, shown._value  # read again for the next batch: one part is held at a time
+            spans, items = [[]] * len(batch), [[]] * len(batch)
+            for t, own in found.items():
+                spans[t] = [{"begin": a, "end": b} for a, b in merged(own[0])]
+                items[t] = sorted(own[1] - {None})
+            columns = [pa.array(n), pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))), pa.array(items, pa.list_(item))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *new])
+
+    return base.mapInArrow(tidy(run), schema)
 
 
 def n_hit(spans: str = "hits"):

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,25 +25,11 @@ SPACED[[32, *range(9, 14)]] = False
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
-_RNG = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
-_STEP = 0x9E3779B97F4A7C15
-_BACK = pow(_STEP, -1, 1 << 64)
-_PLACE = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base ** 0, 1, ... n modulo 2 ** 64."""
-    if base not in _powers or len(_powers[base]) <= n:
-        size = max(n + 1, BLOCK * 2)
-        out = np.full(size, base, dtype=np.uint64)
-        out[0] = 1
-        out = np.multiply.accumulate(out)
-        if n >= BLOCK * 2:
-            return out  # not kept, as only a very long text needs it
-        _powers[base] = out
-    return _powers[base]
+_PLACE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
+#: What is left of 8 bytes of which so many belong to a word.
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
+#: Bytes up to which words are hashed together, 8 bytes of each at a time.
+TOGETHER = 64
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -88,13 +75,22 @@ class Block:
         self.at = np.searchsorted(self.starts, offsets)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word."""
+        """A 64-bit hash of each word: its length, then 8 bytes after another, each round mixed; of long words BLAKE2."""
         if not len(self.starts):
             return np.zeros(0, dtype=np.uint64)
-        n = len(self.data)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[self.data] * _power(_STEP, n)[:n], out=sums[1:])
-        return mixed((sums[self.ends] - sums[self.starts]) * _power(_BACK, n)[self.starts])
+        padded = np.concatenate([self.data, np.zeros(8, dtype=np.uint8)])
+        eight = np.ndarray((len(self.data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+        size = self.ends - self.starts
+        out = mixed((eight[self.starts] & _MASK[np.minimum(size, 8)]) + mixed(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
+        more = np.flatnonzero((size > 8) & (size <= TOGETHER))
+        at = 8
+        while len(more):
+            out[more] = mixed(out[more] ^ mixed((eight[self.starts[more] + at] & _MASK[np.minimum(size[more] - at, 8)]) + np.uint64(at)))
+            at += 8
+            more = more[size[more] > at]
+        for i in np.flatnonzero(size > TOGETHER).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(self.data[self.starts[i] : self.ends[i]], digest_size=8).digest(), "little")
+        return out
 
 
 def arrow_bytes(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

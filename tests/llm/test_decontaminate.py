@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from seqwell.llm import decontaminate as d
@@ -56,6 +57,31 @@ def test_hits_against_brute_force(spark, monkeypatch, part_words):
         assert all(a.end < b.begin for a, b in zip(r["hits"], r["hits"][1:], strict=False))
 
 
+def test_automata_are_bounded_by_their_words():
+    rng = random.Random(3)
+    made = []
+    for n in (2_000, 16_000):
+        items = [np.array([rng.randrange(30) for _ in range(100)], dtype=np.uint64) for _ in range(n // 100)] + [np.arange(5, dtype=np.uint64)] * (n // 100)
+        automaton = d.Automaton(items, 10)
+        assert automaton.size() <= d.ROOM * sum(map(len, items))
+        made.append(automaton.size() / sum(map(len, items)))
+    assert made[1] < 1.5 * made[0]
+
+
+@pytest.mark.parametrize("part_words", [1 << 18, 40])
+def test_long_items_string_ids_and_clashing_names(spark, monkeypatch, part_words):
+    monkeypatch.setattr(d, "PART_WORDS", part_words)
+    rng = random.Random(4)
+    long = " ".join(f"v{rng.randrange(50)}" for _ in range(150))
+    items = [("b", long), ("a", "x1 x2 x3"), ("aa", long[: len(long) // 2]), (None, "zz"), ("dup", "x1 x2 x3"), ("dup", "x1 x2 x3")]
+    w = long.split()
+    docs = [(1, " ".join(["q"] * 5 + w[30:75] + ["q"])), (2, "X1, x2; x3 zz"), (3, " ".join(w[:9])), (4, "q " * 50_000 + " ".join(w[100:112])), (5, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS _row", "'i' AS items", "2 AS n_words")
+    for r in d.hits(df, spark.createDataFrame(items, "item_id string, text string")).collect():
+        want = brute(dict(docs)[r.doc_id], items)
+        assert (r.n_words, sum(x.end - x.begin for x in r["hits"]), r["items"]) == want and r._row == 1, r.doc_id
+
+
 def test_cutting(spark):
     item = "one two three four five six seven eight nine ten eleven"
     docs = [(1, f"Before. {item.upper()}, after that more words stay here and there to keep it below the limit of half"), (2, item), (3, "nothing to see"), (4, None)]
