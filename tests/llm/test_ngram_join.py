@@ -43,11 +43,49 @@ def test_against_brute_force(spark, seed):
     check(spark, corpus(seed))
 
 
-def test_leaders_are_enough_and_pairs_left_over_too(spark, monkeypatch):
-    rows = corpus(3, groups=2, size=25)
-    check(spark, rows)
-    monkeypatch.setattr(ngram_join, "LEADERS", 1)
-    check(spark, rows)
+@pytest.mark.parametrize(("leaders", "growth"), [(4, 16), (1, 2)])
+def test_all_pairs_across_components_are_decided_by_rounds_of_leaders(spark, monkeypatch, leaders, growth):
+    monkeypatch.setattr(ngram_join, "LEADERS", leaders)
+    monkeypatch.setattr(ngram_join, "GROWTH", growth)
+    check(spark, corpus(3, groups=2, size=25))
+
+
+def test_hot_bucket_of_unlike_texts(spark):
+    # 5,000 texts of four passages each, no two of the same four: they share their keys by the hundred, but none is alike
+    rng = random.Random(6)
+    passages = [" ".join(f"p{i}w{k}" for k in range(25)) for i in range(50)]
+    chosen: dict[frozenset, tuple] = {}
+    while len(chosen) < 5_000:
+        own = rng.sample(range(50), 4)
+        chosen.setdefault(frozenset(own), own)
+    rows = [(i, " ".join(passages[k] for k in own)) for i, own in enumerate(chosen.values())]
+    rows += [(10_000 + i, f"{t} {t.split()[0]}") for i, t in rows[:5]]
+    out = {r.doc_id: r.component_id for r in components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(c == (k if k < 10_000 else k - 10_000) for k, c in out.items()) and len(out) == len(rows)
+
+
+def test_words_of_structured_texts_do_not_collide(spark):
+    # a polynomial modulo 2 ** 64 cannot tell the Thue-Morse word from its complement
+    bits = [bin(i).count("1") % 2 for i in range(1 << 11)]
+    rows = [(1, "".join("ab"[b] for b in bits)), (2, "".join("ba"[b] for b in bits)), (3, "a" * 60 + "b"), (4, "a" * 60 + "c"), (5, "12345678a"), (6, "12345678b")]
+    assert [r.component_id for r in components(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()] == [1, 2, 3, 4, 5, 6]
+
+
+def test_string_ids_and_very_long_texts(spark):
+    rng = random.Random(7)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(120_000)]
+    rows = [("b", " ".join(long)), ("a", " ".join(long[:100_000] + ["z"] * 9)), ("c", " ".join(long[:80_008])), ("f", " ".join(long[:80_007] + ["y"])), ("d", "x" * 300_000), ("e", "x" * 300_000)]
+    out = {r.doc_id: r.component_id for r in components(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    # c holds 80,004 of the 100,005 n-grams of a, one less were too few; f is linked with c
+    assert out == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d", "f": "a"}
+
+
+def test_join_of_hot_keys(spark):
+    rows = spark.range(5000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS k")
+    other = spark.range(5000).selectExpr("id AS k", "id * 2 AS v")
+    for how in ("inner", "left"):
+        out = ngram_join.met(rows, other.where("k <> 8"), "k", "id", how)
+        assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, rows.join(other.where("k <> 8"), "k", how).collect()), key=str)
 
 
 def test_common_ngrams_are_found_from_a_broadcast(spark, monkeypatch):
