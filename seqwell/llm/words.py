@@ -62,8 +62,8 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
 class Block:
     """Neighbouring texts and their words. first: the row of the first text; at: where each text's words begin, of len(texts) + 1."""
 
-    def __init__(self, first: int, data: np.ndarray, offsets: np.ndarray, letters: np.ndarray) -> None:
-        self.first, self.n, self.data, self.offsets = first, len(offsets) - 1, LOWER[data], offsets
+    def __init__(self, first: int, data: np.ndarray, offsets: np.ndarray, letters: np.ndarray, lower: bool = True) -> None:
+        self.first, self.n, self.data, self.offsets = first, len(offsets) - 1, LOWER[data] if lower else data, offsets
         inside = letters[self.data]
         begins, ends = inside.copy(), inside.copy()
         begins[1:] &= ~inside[:-1]
@@ -107,12 +107,12 @@ def arrow_bytes(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def blocks(texts: pa.Array | pa.ChunkedArray, letters: np.ndarray, size: int = BLOCK) -> Iterator[Block]:
+def blocks(texts: pa.Array | pa.ChunkedArray, letters: np.ndarray, size: int = BLOCK, lower: bool = True) -> Iterator[Block]:
     data, at = arrow_bytes(texts)
     row, n = 0, len(at) - 1
     while row < n:
         end = max(row + 1, int(np.searchsorted(at, at[row] + size, side="right")) - 1)
-        yield Block(row, data[at[row] : at[end]], at[row : end + 1] - at[row], letters)
+        yield Block(row, data[at[row] : at[end]], at[row : end + 1] - at[row], letters, lower)
         row = end
 
 

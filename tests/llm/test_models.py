@@ -1,15 +1,19 @@
 """Language ID, toxicity, URL filters, fertility: against definitions and held-out rows."""
 
+import base64
 import random
 import re
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
+import sentencepiece
+import tiktoken
 from pyspark.sql import functions as F
 
-from seqwell.llm import fertility, langid, toxicity, url_filter
+from seqwell.llm import bpe, fertility, langid, toxicity, url_filter
 from seqwell.llm.words import arrow_bytes
 
 SYLLABLES = {"aa": "ka to mi ne ru sha", "bb": "berg ung sch ein lich ö", "cc": "tion eau ment é aux qu"}
@@ -135,24 +139,50 @@ def base(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
 
 
+def plain_script(text):
+    raw = text.encode()
+    if sum(b >= 0x80 for b in raw) * 3 < len(raw):
+        return "latin"
+    counts = Counter()
+    for c in text:
+        if ord(c) >= 0x41:
+            counts[[name for start, name in fertility.SCRIPT_STARTS if start <= ord(c)][-1]] += 1
+    return max({name for _, name in fertility.SCRIPT_STARTS}, key=lambda k: (counts[k], k))
+
+
 def test_fertility(spark):
     rng = random.Random(4)
-    texts = [prose(rng, "cc", n) for n in (10, 60, 300)] + ["a b c a b c", "x\n\nx\n x\ny", "### $$ \n", "日本語 テキスト " * 30, "\u00a0 a\u2003b", "слово и дело " * 25, "é" * 3000, "\U0001F600 " * 60, "the cat sat " * 40, "", None]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 AS kept", "2 AS entropy")
-    import sentencepiece
-    import public_tokenizers
-
+    texts = [prose(rng, "cc", n) for n in (10, 60, 300)] + ["a b c a b c", "x\n\nx\n x\ny", "### $$ \n", "日本語 テキスト " * 30, "\u00a0 a\u2003b", "слово и дело " * 25, "é" * 3000, "\U0001F600 " * 60, "the cat sat " * 40, "", None, " \n\t "]
+    code = "\n".join(f"{' ' * 8 * (k % 4)}if x{k} == {k}:\n\t\ty{k} = 1\n\n" for k in range(60))
+    some = sorted({w for _ in range(300) for w in prose(rng, "bb", 3).split()})
+    texts += [code, " ".join(rng.sample(some, 120)), "A a A a A A a", "\n".join(" ".join(rng.choice("abc") for _ in range(5)) for _ in range(30)), " " * 250_000 + "x y", "the same line\n" * 3 + " ".join(some[:80])]
+    texts.append(
+        "The harbour was quiet when the ferry came in, and only two fishermen stood by the wall with their nets. A boy carried "
+        "baskets of bread from the bakery to the hotel, counting his steps aloud. Later that morning rain moved over the hills, "
+        "the market closed early, and people who had planned to swim went to the small museum instead, where an old clock told the wrong hour."
+    )
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(1, texts[1])], "doc_id long, text string").selectExpr("*", "1 AS kept", "2 AS entropy")
+    with open(bpe.default_ranks(), "rb") as f:
+        merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
     pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-    for r in fertility.measure(docs).collect():
+    rows = fertility.measure(docs).collect()
+    assert len(rows) == len(texts) + 1 and {r.kept for r in rows} == {True, False}
+    for r in rows:
         text = texts[r.doc_id]
         assert tuple(r[c] for c in fertility.BASE) == base(text), text
         n, _, _, _, repeated = base(text)
-        assert r.base_failed == (n < 50 or 100 * repeated > 50 * n) and (not r.kept or not r.base_failed)
-        if n:
-            ids = [i for w in re.findall(r"[^\x20\x09-\x0D]+", text) for i in pieces.encode(w)]
-            share = np.array(list(Counter(ids).values())) / len(ids)
-            assert np.isclose(r.entropy, -(share * np.log2(share)).sum(), atol=1e-9)
-            assert np.isclose(r.byte_share, sum(pieces.is_byte(i) for i in ids) / len(ids))
-        else:
-            assert r.entropy is None and r.script is None and not r.kept
+        assert r.base_failed == (n < 50 or 100 * repeated > 50 * n)
+        if not n:
+            assert r.entropy is None and r.chars_per_piece is None and r.script is None and not r.kept
+            continue
+        ids, pairs = pieces.encode(text), library.encode_ordinary(text)
+        share = np.array(list(Counter(ids).values())) / len(ids)
+        entropy, byte_share = -(share * np.log2(share)).sum(), sum(pieces.is_byte(i) for i in ids) / len(ids)
+        got = (r.chars_per_piece, r.chars_per_pair, r.byte_share, r.entropy)
+        assert np.allclose(got, (len(text) / len(ids), len(text) / len(pairs), byte_share, entropy), atol=1e-9) and r.script == plain_script(text)
+        (low, high), (low_pair, high_pair), most, least = fertility.BANDS[r.script]
+        good = low <= got[0] <= high and low_pair <= got[1] <= high_pair and byte_share <= most
+        good = good and (len(ids) < fertility.FEW or entropy >= least * np.log2(min(fertility.FULL, max(2, n))))
+        assert r.kept == (good and not r.base_failed), text
     assert fertility.measure(docs.limit(0)).count() == 0
