@@ -14,13 +14,12 @@ every text is scored whole.
 
 Defined results: a text that is null or has no letter is `und` with score 0; with nothing to learn from every text is
 `und`; rows with null lang or text are not learnt from; equal code lengths go to the first language by name; rows of one id
-and text are learnt from once; repeated rows are judged each alone; new columns replace those of the same name, others pass
-through.
+and text are learnt from once; repeated rows are judged each alone; an empty table gives no rows; new columns replace those
+of the same name, others pass through.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -242,26 +241,3 @@ def identify(docs: DataFrame, models: list[Model], *, text: str = "text") -> Dat
     none = ~F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     out = out.withColumn("lang_pred", F.when(none, "und").otherwise(F.col("lang_pred"))).withColumn("score", F.when(none, 0.0).otherwise(F.col("score")))
     return out.withColumn("accepted", (F.col("lang_pred") != "und") & (F.col("bits_per_byte") <= MOST_BITS))
-
-
-def brute_bits(texts: list[str], text: str) -> float:
-    """The code length of `text` after `texts`, byte by byte: the definition, for tests."""
-    counts: dict[bytes, Counter] = {}
-    for t in texts:
-        raw = t.encode()
-        for i in range(len(raw)):
-            for k in range(min(i, ORDER) + 1):
-                counts.setdefault(raw[i - k : i], Counter())[raw[i]] += 1
-    raw, total = text.encode(), 0.0
-    for i in range(len(raw)):
-        for k in range(min(i, ORDER), -1, -1):
-            c = counts.get(raw[i - k : i])
-            if not c:
-                total += 8 if k == 0 else 0
-                continue
-            whole = sum(c.values()) + len(c)
-            if raw[i] in c:
-                total += np.log2(whole / c[raw[i]])
-                break
-            total += np.log2(whole / len(c)) + (8 if k == 0 else 0)
-    return total

@@ -3,10 +3,12 @@
 Features of a text are the distinct hashes of its lower-cased words, pairs of neighbours and pairs with one word between.
 Learning keeps a rate per coordinate and an L1 term, so most weights are exactly zero; what is broadcast are the non-zero
 ones, 2 ** BITS at most. The model is fitted on the driver from a bounded sample of labelled rows: those `SAMPLE` with the
-smallest hash of their id.
+smallest hash of their id, of them as many as have `FEATURES` features together. What comes to the driver are features of
+whole texts, 4 bytes each, not the texts.
 
 Defined results: null and empty texts have no features and get the score of the bias alone; a row with a null label or id
-is not learnt from; a doc_id with several labels is toxic if one of them is; with no labels at all every score is 0.5;
+is not learnt from; a doc_id with several labels is toxic if one of them is, of several texts under one doc_id the one of
+the smallest hash is learnt from; with no labels or no documents at all every score is 0.5; very long texts are scored whole;
 repeated rows are scored each alone; further columns pass through, a new column replaces one of the same name.
 """
 
@@ -25,6 +27,8 @@ from seqwell.llm.words import ALNUM, Block, blocks, mixed, tidy
 BITS = 18
 #: Labelled rows that are learnt from, at most.
 SAMPLE = 12000
+#: Features of them together that come to the driver, at most but for the last row's, which are 2 ** BITS at most.
+FEATURES = 1 << 24
 
 
 @dataclass
@@ -47,9 +51,10 @@ def features(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield text[at], (x >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def _sparse(texts: list[str | None]) -> list[np.ndarray]:
+def _sparse(texts: pa.Array) -> list[np.ndarray]:
+    """The places of each text's features."""
     out: list[np.ndarray] = []
-    for block in blocks(pa.array(texts, pa.large_string()), ALNUM):
+    for block in blocks(texts, ALNUM):
         text, place = (np.concatenate(x) for x in zip(*features(block), strict=True))
         key = np.unique((text << BITS) | place)
         cut = np.searchsorted(key, np.arange(block.n + 1) << BITS)
@@ -77,15 +82,29 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, *, rate: float = 1.0, beta:
     return Model(places, w[places].astype(np.float32), float(-z0 / ((beta + np.sqrt(n0)) / rate)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, usable: Column | None = None, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, usable: Column | None = None, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, most: int = FEATURES) -> Model:
     """Learns from `labels` rows for which `usable` (over the column `key`) holds."""
     some = labels.select(F.col(key).alias("doc_id"), F.col(label).cast("int").alias("y")).dropna()
     if usable is not None:
         some = some.where(usable)
     some = some.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(some), "doc_id").toPandas()  # `sample` rows at most are broadcast
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
-    return ftrl(_sparse(rows["text"].tolist()), rows["y"].to_numpy(float)) if len(rows) else Model(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32), 0.0)
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(some), "doc_id")  # `sample` rows at most are broadcast
+    one = F.min_by("text", F.struct(F.xxhash64("text"), "text"))
+    rows = rows.groupBy("doc_id").agg(F.first("y").alias("y"), one.alias("text")).select(F.xxhash64("doc_id").alias("at"), F.col("doc_id").cast("string").alias("doc_id"), "y", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = pa.array([x.tobytes() for x in _sparse(batch.column(3))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], places], names=[*batch.schema.names[:3], "places"])
+
+    found, y, held = [], [], 0
+    for r in rows.mapInArrow(tidy(run), "at long, doc_id string, y int, places binary").orderBy("at", "doc_id").toLocalIterator():
+        found.append(np.frombuffer(r["places"], dtype=np.int32))
+        y.append(r["y"])
+        held += len(found[-1])
+        if held >= most:
+            break
+    return ftrl(found, np.array(y, dtype=float)) if found else Model(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32), 0.0)
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:

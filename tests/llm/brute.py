@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from datetime import date, datetime, timedelta
 
 import regex
@@ -168,3 +169,26 @@ def pseudonymised(text: str, key: str, pattern: str, classes: list[tuple[int, in
         return new
 
     return regex.sub(pattern, put, text), dict(counts)
+
+
+def code_length(texts: list[str], text: str, order: int = 3) -> float:
+    """The code length of `text` after `texts`, byte by byte."""
+    counts: dict[bytes, Counter] = {}
+    for t in texts:
+        raw = t.encode()
+        for i in range(len(raw)):
+            for k in range(min(i, order) + 1):
+                counts.setdefault(raw[i - k : i], Counter())[raw[i]] += 1
+    raw, total = text.encode(), 0.0
+    for i in range(len(raw)):
+        for k in range(min(i, order), -1, -1):
+            c = counts.get(raw[i - k : i])
+            if not c:
+                total += 8 if k == 0 else 0
+                continue
+            whole = sum(c.values()) + len(c)
+            if raw[i] in c:
+                total += math.log2(whole / c[raw[i]])
+                break
+            total += math.log2(whole / len(c)) + (8 if k == 0 else 0)
+    return total

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import brute
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -29,7 +30,7 @@ def test_code_lengths_are_those_of_the_definition():
     scorer = langid.Scorer(langid.learn(texts))
     some = ["", "a", "ka to", "öön €", prose(rng, "cc", 20), "z" * 40, "kaé"]
     got = scorer.lengths(*arrow_bytes(pa.array(some, pa.large_string())))
-    want = [[langid.brute_bits(texts[k], t) for k in sorted(texts)] for t in some]
+    want = [[brute.code_length(texts[k], t, langid.ORDER) for k in sorted(texts)] for t in some]
     assert np.allclose(got, want, rtol=1e-5, atol=1e-3)
 
 
@@ -43,6 +44,7 @@ def test_languages(spark):
     assert sum(said[k].lang_pred == lang for k, _, lang in rows) >= 0.97 * len(rows)
     assert all(said[k].lang_pred == "und" and said[k].score == 0 and not said[k].accepted for k in (900, 901, 902))
     assert said[903].lang_pred == "aa" and len(out) == len(rows) + 5 and all(0 <= r.score <= 1 for r in out)
+    assert langid.identify(docs.limit(0), langid.fit(docs)).count() == 0
     nothing = langid.identify(docs, langid.fit(docs.limit(0)))
     assert {r.lang_pred for r in nothing.collect()} == {"und"}
 
@@ -91,6 +93,52 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r.score for r in toxicity.score(docs, toxicity.fit(docs, marks.limit(0))).collect()} == {0.5}
 
 
+def plain_ftrl(rows, labels, rate=1.0, beta=1.0, l1=15.0, l2=0.5, rounds=6, seed=7):
+    """Weights by place and the bias, coordinate by coordinate."""
+    z, n, order = Counter(), Counter(), np.random.Generator(np.random.PCG64(seed))
+
+    def weight(k):
+        if k != "bias" and abs(z[k]) <= l1:
+            return 0.0
+        shrunk = z[k] if k == "bias" else z[k] - (l1 if z[k] > 0 else -l1)
+        return -shrunk / ((beta + n[k] ** 0.5) / rate + (0 if k == "bias" else l2))
+
+    for _ in range(rounds):
+        for i in order.permutation(len(rows)):
+            own = [*rows[i].tolist(), "bias"]
+            w = {k: weight(k) for k in own}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - labels[i]
+            for k in own:
+                z[k] += g - ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / rate * w[k]
+                n[k] += g * g
+    return {k: weight(k) for k in z if weight(k)}
+
+
+def test_weights_are_those_of_the_plain_version():
+    rng = random.Random(8)
+    texts = [prose(rng, "aa", 12) + (" fool and scum" if i % 3 == 0 else "") for i in range(150)]
+    labels = np.array([float(i % 3 == 0) for i in range(150)])
+    rows = toxicity._sparse(pa.array(texts))
+    for text, own in zip(texts, rows, strict=True):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+        made = len({(x,) for x in w} | {(0, *x) for x in zip(w, w[1:], strict=False)} | {(1, *x) for x in zip(w, w[2:], strict=False)})
+        assert made - 2 <= len(own) <= made  # places may fall together
+    model, want = toxicity.ftrl(rows, labels), plain_ftrl(rows, labels)
+    assert model.bias == pytest.approx(want.pop("bias")) and dict(zip(model.places.tolist(), model.weights.tolist(), strict=True)) == pytest.approx(want, rel=1e-5) and want
+
+
+def test_toxicity_of_clashing_ids_and_bounds(spark):
+    rows = [(i, "you fool and scum" if i % 2 else "a kind word") for i in range(40)] + [(2, "you are a scum"), (2, "other text"), (2, None)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, 0)], "doc_id long, toxic int")
+    one, other = (toxicity.fit(d, marks) for d in (docs.coalesce(1), docs.orderBy(F.desc("text")).repartition(5)))
+    assert one.bias == other.bias and one.places.tolist() == other.places.tolist() and one.weights.tolist() == other.weights.tolist()
+    empty = toxicity.fit(docs.limit(0), marks)
+    assert empty.bias == 0 and not len(empty.places) and toxicity.score(docs.limit(0), empty).count() == 0
+    assert toxicity.fit(docs, marks, most=1).bias != one.bias
+    long = spark.createDataFrame([(1, "kind " * 200_000 + "fool")], "doc_id long, text string")
+    assert 0 <= toxicity.score(long, one).first().score <= 1
+
+
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
 
