@@ -33,8 +33,9 @@ from seqwell.llm.words import arrow_bytes, tidy
 ORDER = 3
 #: Labelled rows that are learnt from, a language, and the characters of each, at most.
 SAMPLE, LONGEST = 300, 8000
-#: Languages in a score table at most; it has a code length of every n-gram for each of them.
-TABLE = 16
+#: Languages in a score table at most; it has a code length of every n-gram for each of them. And n-grams of the longest
+#: order times languages, of 4 bytes each, in a table of several languages at most.
+TABLE, CELLS = 16, 1 << 24
 #: Code lengths are counted in so many parts of a bit.
 UNIT = 1 << 20
 #: Bits a byte, those of raw bytes, beyond which a text is no text of a learnt language.
@@ -179,8 +180,8 @@ class Scorer:
         return total / UNIT
 
 
-def fit(docs: DataFrame, *, usable: Column | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, table: int = TABLE) -> list[Model]:
-    """Learns every language of the rows of `docs` for which `usable` (over columns of `docs`) holds: a model for each `table` of them."""
+def fit(docs: DataFrame, *, usable: Column | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, table: int = TABLE, cells: int = CELLS) -> list[Model]:
+    """Learns every language of the rows of `docs` for which `usable` (over columns of `docs`) holds: a model for `table` of them, fewer if they have many n-grams."""
     rows = docs if usable is None else docs.where(usable)
     rows = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     # of about three times the rows wanted, by a hash of id and text, the first ones; the numbers of hashes tell how many that takes
@@ -195,12 +196,16 @@ def fit(docs: DataFrame, *, usable: Column | None = None, key: str = "doc_id", t
     some = rows.join(F.broadcast(most), "lang").where(F.col("at") < F.col("most"))
     some = some.select("lang", "at", F.substring("text", place.cast("int"), F.lit(LONGEST)).alias("text")).distinct()
     some = some.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("at", "text"))), 1, sample).alias("rows"))
-    models, texts = [], {}
-    for r in some.toLocalIterator():
-        texts[r["lang"]] = [x["text"] for x in r["rows"]]
-        if len(texts) == table:
+    models, texts, keys = [], {}, 0
+    for r in some.orderBy("lang").toLocalIterator():
+        own = [x["text"] for x in r["rows"]]
+        data, offsets = arrow_bytes(pa.array(own, pa.large_string()))
+        more = len(np.unique(_grams(data, _inside(offsets), ORDER)))
+        if texts and (len(texts) == table or (keys + more) * (len(texts) + 1) > cells):
             models.append(learn(texts))
-            texts = {}
+            texts, keys = {}, 0
+        texts[r["lang"]] = own
+        keys += more
     return [*models, learn(texts)] if texts else models
 
 

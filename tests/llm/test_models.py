@@ -69,8 +69,8 @@ def test_tables_do_not_change_code_lengths(spark):
     # two languages of the same texts: the first by name
     rows += [(1000 + i, rows[i][1], f"a-{rows[i][2]}") for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    one, many = (sorted(map(tuple, langid.identify(docs, langid.fit(docs, table=k)).collect()), key=str) for k in (100, 1))
-    assert one == many and all(r[3].startswith("a-") for r in one)
+    one, many, small = (sorted(map(tuple, langid.identify(docs, langid.fit(docs, **k)).collect()), key=str) for k in ({"table": 100}, {"table": 1}, {"cells": 2000}))
+    assert len(langid.fit(docs, cells=2000)) > 1 and one == many == small and all(r[3].startswith("a-") for r in one)
 
 
 def test_toxicity_on_held_out_rows(spark):
