@@ -2,15 +2,17 @@
 
 The model is trained on the driver from the small table of labelled URLs below, or one given in its place of `MOST_LABELLED`
 rows at most; its weights are 2 ** BITS numbers, a fixed size, and are broadcast. N-grams of 3 to 5 characters are taken
-from the host without a leading www, m or blog and without its ending, the last two labels or the last of two, which all
-kinds of pages share, and from the path's letters.
+from each label of the host but the last, whatever its place, so that a telling name counts as a registered domain and as a
+subdomain; those of the label before the last count once more as the registered domain's, those of the labels before it as
+subdomains'; further n-grams come from the path's letters. Only urls that no rule decides are scored.
 
 The labelled hosts and paths are made of general vocabulary; none is a host of the tables that queries read, so verdicts on
 those are the model's own. `held_out` tells how it judges labelled hosts that it was not trained on.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and no rule, and is judged by the model
 (an empty url scores the bias: allow); a rule fits its host and all subdomains if the path starts with the rule's path; the
-longest rule wins; repeated rows are judged each alone; new columns replace those of the same name, others pass through.
+longest rule wins, and the score is null; repeated rows are judged each alone; very long urls are judged whole; an empty
+table gives no rows; new columns replace those of the same name, others pass through.
 """
 
 from __future__ import annotations
@@ -89,16 +91,15 @@ def parts(url: Column) -> tuple[Column, Column]:
 
 
 def grams(host: str, path: str) -> np.ndarray:
+    """Places of the n-grams of a url."""
     labels = host.split(".")
-    if len(labels) > 2 and labels[0] in ("www", "m", "blog"):
-        labels = labels[1:]
-    own = ".".join(labels[:-2] if len(labels) > 2 else labels[:1])
+    named = [("h", x) for x in labels[:-1] or labels] + [("r", x) for x in labels[-2:-1]] + [("s", x) for x in labels[:-2]]
     letters = "".join(c if c.isalpha() or c in "/-" else "" for c in path.lower())
     out = set()
-    for kind, text in (("h", f"^{own}$"), ("p", letters)):
-        raw = text.encode()
+    for kind, text in [*((k, f"^{x}$") for k, x in named), ("p", letters)]:
+        start, raw = zlib.crc32(kind.encode()), text.encode()
         for n in (3, 4, 5):
-            out.update(zlib.crc32(kind.encode() + raw[i : i + n]) >> (32 - BITS) for i in range(len(raw) - n + 1))
+            out.update(zlib.crc32(raw[i : i + n], start) >> (32 - BITS) for i in range(len(raw) - n + 1))
     return np.fromiter(out, dtype=np.int64, count=len(out))
 
 
@@ -109,7 +110,7 @@ def _split(url: str) -> tuple[str, str]:
     return host.lower(), slash + path
 
 
-def train(rows: list[tuple[str, int]] | None = None, *, rounds: int = 60, rate: float = 0.3, decay: float = 3e-3) -> np.ndarray:
+def train(rows: list[tuple[str, int]] | None = None, *, rounds: int = 60, rate: float = 0.3, decay: float = 3e-2) -> np.ndarray:
     """Weights by place, the bias last; batch gradient steps with a decaying rate per coordinate."""
     rows = labelled() if rows is None else rows
     if len(rows) > MOST_LABELLED:
@@ -140,21 +141,26 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], *, url: str = "url", w
     """`pages` with host, path, rule, verdict (allow or block) and score (the model's, 0 to 1). rules: (verdict, host/path)."""
     shown = pages.sparkSession.sparkContext.broadcast(train() if weights is None else weights)
     new = ["host", "path", "rule", "verdict", "score"]
-    host, path = parts(F.col(url))
-    out = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c not in new or c == url], host.alias("host"), path.alias("path"))
+    kept = [c for c in pages.columns if c not in new or c == url]
+    host, path = parts(F.col(f"`{url}`"))
+    # columns of the table stay inside a struct, where no name clashes
+    out = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), host.alias("host"), path.alias("path"))
 
     @F.pandas_udf("double")
     def scored(hosts, paths):
         import pandas as pd
 
         w = shown.value
-        total = np.zeros(len(hosts))
+        total = np.full(len(hosts), np.nan)
         known: dict[tuple[str, str], float] = {}
-        for i, x in enumerate(zip(hosts, ("".join(c for c in p if not c.isdigit()) for p in paths), strict=True)):
+        for i, (h, p) in enumerate(zip(hosts, paths, strict=True)):
+            if h is None:
+                continue  # a rule decides
+            x = (h, "".join(c for c in p if not c.isdigit()))
             if x not in known:
                 known[x] = logit(w, *x)
             total[i] = known[x]
-        return pd.Series(1 / (1 + np.exp(-np.clip(total, -35, 35))))
+        return pd.Series(1 / (1 + np.exp(-np.clip(total, -35, 35)))).astype(object).where(~np.isnan(total), None)
 
     chosen = F.lit(None).cast("string")
     given = F.lit(None).cast("string")
@@ -163,6 +169,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], *, url: str = "url", w
         own, slash, start = rule.partition("/")
         fits = ((F.col("host") == own) | F.endswith(F.col("host"), F.lit(f".{own}"))) & F.startswith(F.col("path"), F.lit(slash + start))
         chosen, given = F.when(fits, rule).otherwise(chosen), F.when(fits, verdict).otherwise(given)
-    out = out.withColumns({"rule": chosen, "_given": given, "score": scored("host", "path")})
-    verdict = F.coalesce("_given", F.when(F.col("score") >= threshold, "block").otherwise("allow"))
-    return out.withColumn("verdict", verdict).drop("_given")
+    out = out.withColumns({"rule": chosen, "given": given})
+    open_ = F.col("rule").isNull()
+    out = out.withColumn("score", scored(F.when(open_, F.col("host")), F.when(open_, F.col("path"))))
+    verdict = F.coalesce("given", F.when(F.col("score") >= threshold, "block").otherwise("allow"))
+    return out.select(*[F.col("row")[c].alias(c) for c in kept], "host", "path", "rule", "score", verdict.alias("verdict"))

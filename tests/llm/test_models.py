@@ -174,9 +174,36 @@ def test_url_model_does_not_know_the_hosts_of_the_tables(spark):
     assert found[1][1] >= 0.8 * found[1][0] and found[0][1] <= 0.15 * found[0][0]
 
 
-def test_url_host_without_prefix_and_ending():
-    one = set(url_filter.grams("casino.example.com", "/"))
-    assert all(set(url_filter.grams(h, "/")) == one for h in ("casino.com", "www.casino.com", "m.casino.co.uk", "blog.casino.example.org"))
+def test_urls_of_the_whole_host(spark):
+    w = url_filter.train()
+    judged = lambda h: url_filter.probability(w, h, "/about") >= 0.5
+    assert all(judged(h) for h in ("online-casino.com", "www.online-casino.com", "a.online-casino.com", "online-casino.pages.org", "m.online-casino.co.uk"))
+    assert not any(judged(h) for h in ("library.com", "www.library.com", "a.library.com", "library.pages.org", "www.com"))
+    # the same name counts alike wherever it stands, and by its place
+    one, other = set(url_filter.grams("casino.com", "/").tolist()), set(url_filter.grams("casino.b.com", "/").tolist())
+    assert len(one & other) >= 15 and one - other and other - one  # 6 + 5 + 4 n-grams of ^casino$
+
+
+def test_url_rules_against_brute_force(spark):
+    rng = random.Random(9)
+    hosts = ["com", "a.com", "example.com", "x.example.com", "notexample.com", "net", "B.NET", "example.net", "org", "q.org", "xorg", ""]
+    paths = ["", "/", "/en/", "/en/7", "/en/8", "/en", "/de/", "/de/8", "/de/80", "/es/1", "/x/en/7"]
+    urls = [f"{rng.choice(['http', 'ftp', 'x'])}://{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(['', '?/en/7', '#/de/', '?q://a'])}" for _ in range(400)]
+    urls += [rng.choice(hosts) + rng.choice(paths) for _ in range(20)] + ["http://x.com/" + "a" * 200_000, "http://a.com\n/en/7"]
+    pages = spark.createDataFrame([(u, i) for i, u in enumerate(urls)], "url string, given int").selectExpr("*", "given AS _given", "1 AS row", "2 AS score")
+    w = url_filter.train()
+    for r in url_filter.judge(pages, RULES).collect():
+        rest = r.url.split("://", 1)[1] if "://" in r.url else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        path, host = re.match(r"[^?#]*", rest[len(host) :])[0], host.lower()
+        fitting = [(len(x), x, v) for v, x in RULES if (host == x.split("/")[0] or host.endswith("." + x.split("/")[0])) and path.startswith(x[len(x.split("/")[0]) :])]
+        assert (r.host, r.path) == (host, path) and r._given == r.given and r.row == 1
+        if fitting:
+            assert (r.rule, r.verdict, r.score) == (*max(fitting)[1:], None)
+        else:
+            p = url_filter.probability(w, host, "".join(c for c in path if not c.isdigit()))
+            assert r.rule is None and r.score == pytest.approx(p) and r.verdict == ("block" if p >= 0.5 else "allow")
+    assert url_filter.judge(pages.limit(0), RULES).count() == 0
 
 
 def base(text):
