@@ -37,14 +37,15 @@ def prefix_targets(conversations: DataFrame) -> DataFrame:
     whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
     last = F.size("t") - 1
     at = F.filter(F.sequence(F.lit(0), last), lambda i: (F.get("t", i)["role"] == REPLY) | (i == last))
-    cut = whole.select("conv_id", "t", F.posexplode(at).alias("example", "i"))
     shown = lambda x: F.concat(F.lit(START), escaped(x["role"]), F.lit(SEP), escaped(x["text"]), F.lit(END))
+    # each turn is escaped once, below the explode
+    cut = whole.select("conv_id", "t", F.transform("t", shown).alias("shown"), at.alias("at")).select("conv_id", "t", "shown", F.posexplode("at").alias("example", "i"))
     own = F.get("t", F.col("i"))
     made = cut.select(
         "conv_id",
         "example",
         (F.col("i") + 1).cast("long").alias("n_turns"),
-        F.array_join(F.transform(F.slice("t", F.lit(1), F.col("i") + 1), shown), "").alias("formatted"),
+        F.array_join(F.slice("shown", F.lit(1), F.col("i") + 1), "").alias("formatted"),
         F.when(own["role"] == REPLY, F.length(escaped(own["text"]))).alias("target"),
     )
     end = F.length("formatted") - F.when(F.col("target").isNull(), 0).otherwise(len(END))

@@ -34,6 +34,15 @@ def test_lines_against_brute_force(spark):
     assert site_line_dedup(docs.limit(0)).count() == 0
 
 
+def test_hot_and_cold_sites_against_brute_force(spark):
+    # one site has a third of all pages, a line of it is on all of them; 1,400 small sites are below the share of a hot one
+    rows = [(i, f"hot menu\nrow {i % 40}\nx{i}", "hot") for i in range(900)]
+    rows += [(1000 + i, f"menu\nfoot {i // 7 % 2}\n{'hot menu' if i % 3 else i}", f"s{i // 7 if i < 700 else i}") for i in range(2000)]
+    rows += [(5000, "hot menu\n" * 30_000 + "end", "hot"), (5001, "\n".join(f"l{k}" for k in range(30_000)), "s1")]
+    out = site_line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3))
+    assert sorted((r.doc_id, r.text, r.lines_dropped) for r in out.collect()) == sorted(brute_lines(rows))
+
+
 def test_native_plans(spark):
     docs = spark.createDataFrame([(1, "a", "b")], "doc_id long, text string, source string")
     talks = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
