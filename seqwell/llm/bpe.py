@@ -182,14 +182,21 @@ class Vocabulary:
         total = int(n.sum())
         return self.token_bytes[np.repeat(self.token_start[ids] - np.cumsum(n) + n, n) + np.arange(total)]
 
+    def split(self, ids: np.ndarray, places: np.ndarray) -> list[bytes]:
+        """The bytes of the ids between each place and the next."""
+        raw = self.decode(ids).tobytes()
+        cut = np.concatenate([[0], np.cumsum(self.token_length[ids])])[places]
+        return [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
 
 #: Bytes of text, or ids, that are worked on at once.
 BLOCK = 1 << 18
 
 
-def encode(docs: DataFrame, ranks: str, *, text: str = "text") -> DataFrame:
-    """`docs` with ids (array of int). ranks: path of a rank file on every machine."""
-    base = docs.select(*[f"`{c}`" for c in docs.columns if c != "ids"])
+def encode(docs: DataFrame, ranks: str, *, text: str = "text", decoded: bool = False) -> DataFrame:
+    """`docs` with ids (array of int) and, if asked for, decoded (binary), the bytes of these ids. ranks: path of a rank file on every machine."""
+    new = ["ids", "decoded"] if decoded else ["ids"]
+    base = docs.select(*[f"`{c}`" for c in docs.columns if c not in new])
     at = base.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,12 +208,16 @@ def encode(docs: DataFrame, ranks: str, *, text: str = "text") -> DataFrame:
                 end = max(row + 1, int(np.searchsorted(sizes, (sizes[row - 1] if row else 0) + BLOCK, side="right")))
                 some = batch.slice(row, end - row)
                 ids = own.encode(some.column(at).to_pylist())
-                places = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                column = pa.ListArray.from_arrays(pa.array(places), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([*some.columns, column], names=[*batch.schema.names, "ids"])
+                places = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+                flat = np.concatenate(ids)
+                columns = [pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), pa.array(flat))]
+                if decoded:
+                    columns.append(pa.array(own.split(flat, places), pa.binary()))
+                yield pa.RecordBatch.from_arrays([*some.columns, *columns], names=[*batch.schema.names, *new])
                 row = end
 
-    return base.mapInArrow(tidy(run), ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema] + ["ids array<int>"]))
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema] + ["ids array<int>"] + ["decoded binary"] * decoded
+    return base.mapInArrow(tidy(run), ", ".join(schema))
 
 
 def decode(encoded: DataFrame, ranks: str, *, ids: str = "ids") -> DataFrame:
@@ -226,10 +237,7 @@ def decode(encoded: DataFrame, ranks: str, *, ids: str = "ids") -> DataFrame:
                 k = 0
                 while k < len(lists):  # up to BLOCK ids at once
                     to = max(k + 1, int(np.searchsorted(ends, ends[k] + BLOCK, side="right")) - 1)
-                    part = flat[ends[k] : ends[to]]
-                    raw = own.decode(part).tobytes()
-                    cut = np.concatenate([[0], np.cumsum(own.token_length[part])])[ends[k : to + 1] - ends[k]]
-                    out += [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                    out += own.split(flat[ends[k] : ends[to]], ends[k : to + 1] - ends[k])
                     k = to
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 

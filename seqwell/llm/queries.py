@@ -38,9 +38,9 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from seqwell.llm.bpe import decode, default_ranks, encode
+    from seqwell.llm.bpe import default_ranks, encode
 
-    done = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), default_ranks()).drop("text"), default_ranks())
+    done = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), default_ranks(), decoded=True)
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -26,6 +26,8 @@ def test_encoding_is_that_of_the_library(spark):
         text = r.text or ""
         assert r.ids == library.encode_ordinary(text) and bytes(r.decoded) == text.encode()
     assert len(out) == len(texts) + 3
+    at_once = bpe.encode(docs, bpe.default_ranks(), decoded=True)
+    assert sorted(map(str, at_once.collect())) == sorted(map(str, out)) and at_once.columns == ["doc_id", "text", "ids", "decoded"]
 
 
 def test_vocabulary():
