@@ -68,12 +68,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether they decode to it; a null text is the empty one."""
-    from seqwell.llm.bpe import decode, encode, default_ranks
+    from seqwell.llm.bpe import default_ranks, encode
 
-    # the text itself would only make the rows of the second step heavier
-    encoded = encode(docs, default_ranks()).select("doc_id", "lang", "source", "ids", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
-    out = decode(encoded, default_ranks())
-    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
+    out = encode(docs.select("doc_id", "lang", "source", "text"), default_ranks(), decoded=True)
+    same = F.sha2("decoded", 256) == F.sha2(F.coalesce("text", F.lit("")), 256)
+    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
 
 STAGES = [
