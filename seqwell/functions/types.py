@@ -92,6 +92,11 @@ class Prim(Type):
     def is_complex(self) -> bool:
         return self.family[0] == "c"
 
+    @property
+    def numpy(self) -> str | None:
+        """The numpy type of the packed form, if Spark's type holds all its values as they are."""
+        return f"<{self.family}{self.size}" if self.family in ("u", "i", "f") and self.size <= 8 and self.name != "u64" else None
+
     def limits(self) -> tuple[float, float]:
         """Least and largest value of a number, or of each part of a complex one."""
         kind = self.family[-1]

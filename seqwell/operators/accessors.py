@@ -70,6 +70,34 @@ def column(value: Column, path: Path) -> Column:
     return value
 
 
+def replaced(value: Column, path: Path, new: Column, variants: tuple[Path, ...] = ()) -> Column:
+    """`value` with its part at `path` overwritten by `new`, of the form that `column` gives; of a range as many elements as `new` has.
+
+    variants: paths, without their ranges, that name a variant of a union. A variant that is written whole becomes the one that is set; a part of a variant is written only where that is set."""
+
+    def put(value: Column, at: int, new: Column) -> Column:
+        if at == len(path):
+            return new
+        step = path[at]
+        if isinstance(step, Range):
+            inside = lambda j: (j >= step.start) & (j < (step.start + F.size(new) * step.stride)) & ((j - step.start) % step.stride == 0)
+            within = (lambda j: inside(j) if step.stop is None else inside(j) & (j < step.stop))
+            return F.transform(value, lambda x, j: F.when(within(j), put(x, at + 1, F.get(new, ((j - step.start) / step.stride).cast("int")))).otherwise(x))
+        part = put(value[step.name], at + 1, new)
+        named = tuple(s for s in path[: at + 1] if isinstance(s, Field))
+        if named not in variants:
+            return value.withField(step.name, part)
+        if at + 1 < len(path):
+            return F.when(value["_tag"] == step.name, value.withField(step.name, part)).otherwise(value)
+        others = [v[-1].name for v in variants if v[:-1] == named[:-1] and v != named]
+        out = value.withField("_tag", F.lit(step.name)).withField(step.name, part)
+        for other in others:
+            out = out.withField(other, F.when(F.lit(False), value[other]))
+        return out
+
+    return put(value, 0, new)
+
+
 def _strided(part: Column, stride: int) -> Column:
     return F.filter(part, lambda _, j: j % stride == 0)
 
@@ -83,8 +111,12 @@ def select(seq: DataFrame, *paths: str | Path) -> DataFrame:
         return seq.select(POS, column(F.col(ELEM), parsed[0]).alias(ELEM))
     names: list[str] = []
     for p in parsed:
-        name = next((s.name for s in reversed(p) if isinstance(s, Field)), "value")
-        names.append(name if name not in names else f"{name}_{sum(x.split('_')[0] == name for x in names) + 1}")
+        name = own = next((s.name for s in reversed(p) if isinstance(s, Field)), "value")
+        count = 1
+        while own in names:
+            count += 1
+            own = f"{name}_{count}"
+        names.append(own)
     return seq.select(POS, F.struct(*[column(F.col(ELEM), p).alias(n) for p, n in zip(parsed, names, strict=True)]).alias(ELEM))
 
 

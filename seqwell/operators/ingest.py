@@ -1,7 +1,7 @@
 """Positions for rows that have none: a dense order by a total key, without gathering rows in one task.
 
-Rows are dealt by ranges of the key and sorted inside each; the table is written, since sampled ranges may differ when
-computed anew; one small count per partition then gives each partition the position of its first row.
+Rows are dealt by ranges of the key, sorted inside each and written, a file a range; a row's place in its file and one small
+count per file then give its position, so rows are shuffled once.
 """
 
 from __future__ import annotations
@@ -16,11 +16,11 @@ def positioned(rows: DataFrame, keys: list[str], elem: Column, folder: str, *, p
     """(pos, elem) in the order of `keys`, which must tell all rows apart that differ in `elem`; kept under `folder`."""
     by = [F.col(k) for k in keys]
     ranged = rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)
-    part = ranged.select(F.spark_partition_id().alias("_part"), F.struct(*by).alias("_key"), elem.alias(ELEM))
-    part.write.mode("error").parquet(folder)
-    kept = rows.sparkSession.read.schema(part.schema).parquet(folder)
-    counts = kept.groupBy("_part").count()
-    # one row per partition: a window over all of them is small
-    first = counts.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_first"))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy("_key"))
-    return kept.join(first, "_part").select((F.col("_first") + within - 1).cast("long").alias(POS), ELEM)
+    own = ranged.sortWithinPartitions(*by).select(elem.alias(ELEM))
+    own.write.mode("error").parquet(folder)
+    kept = rows.sparkSession.read.schema(own.schema).parquet(folder).select(ELEM, F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    counts = kept.groupBy("_file").agg(F.count("*").alias("_n"))
+    # files are named by their range; one row a file, so a window over all of them is small, and so is what is broadcast
+    upto = Window.orderBy(F.length("_file"), "_file").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("_file", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_first"))
+    return kept.join(F.broadcast(first), "_file").select((F.col("_first") + F.col("_at")).cast("long").alias(POS), ELEM)

@@ -6,6 +6,7 @@ of an element is not touched. Everything is a call on a `Store` of ``u8`` variab
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -136,17 +137,24 @@ class ByteStore:
 
 
 def _collected(rows: DataFrame) -> bytes:
-    return bytes(r[ELEM] for r in rows.orderBy(POS).select(ELEM).collect())
+    return rows.orderBy(POS).select(ELEM).toArrow().column(0).to_numpy().astype(np.uint8).tobytes()
+
+
+#: Bytes of a file that go as one row before they are told apart.
+CHUNK = 4096
 
 
 def from_files(spark: SparkSession, path: str) -> DataFrame:
     """The bytes of all files of `path`, one file after the other by name, as (pos, elem): a source for `insert` or `write`.
 
-    Where a file begins follows from the lengths alone, one row a file; contents are not gathered.
+    Where a file begins follows from the lengths alone, one row a file; contents are not gathered. A file becomes rows of a
+    chunk each, a chunk rows of a byte each, so that no row carries more than its own part along.
     """
     files = spark.read.format("binaryFile").load(path)
     before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
     first = files.select("path", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("first"))
-    number = F.conv(F.hex(F.substring("content", F.col("i").cast("int") + 1, F.lit(1))), 16, 10).cast("short")
-    every = files.where("length > 0").select("path", "content", F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("i"))
-    return every.join(first, "path").select((F.col("first") + F.col("i")).alias(POS), number.alias(ELEM))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / CHUNK)), lambda i: F.substring("content", (i * CHUNK + 1).cast("int"), F.lit(CHUNK)))
+    chunks = files.where("length > 0").select("path", F.posexplode(cut).alias("k", "chunk"))
+    chunks = chunks.join(first, "path").select((F.col("first") + F.col("k").cast("long") * CHUNK).alias("at"), "chunk")
+    numbers = F.transform(F.sequence(F.lit(1), F.length("chunk")), lambda i: F.conv(F.hex(F.substring("chunk", i, F.lit(1))), 16, 10).cast("short"))
+    return chunks.select("at", F.posexplode(numbers).alias("i", ELEM)).select((F.col("at") + F.col("i")).alias(POS), ELEM)

@@ -32,6 +32,17 @@ class Folder:
         finally:
             stream.close()
 
+    def has(self, name: str) -> bool:
+        return self.fs.exists(self._at(name))
+
+    def put(self, name: str, text: str) -> None:
+        """Writes a file, also over one that is there."""
+        stream = self.fs.create(self._at(name), True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+
     def put_new(self, name: str, text: str) -> bool:
         """Writes a file unless one of that name exists; whole or not at all. Whether it did."""
         temporary = f"_tmp-{self.jvm.java.util.UUID.randomUUID().toString()}"

@@ -13,11 +13,14 @@ import uuid
 from collections.abc import Callable
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from seqwell.errors import ConflictError, CorruptError, DuplicateCommitError, DuplicateVariableError, InvalidArgumentError, NoSuchVariableError, StatementError
+from seqwell.errors import ConflictError, CorruptError, DuplicateCommitError, DuplicateVariableError, InvalidArgumentError, NoSuchVariableError
 from seqwell.functions import literals, types
 from seqwell.operators import accessors, positions
 from seqwell.operators.positions import ELEM, POS
@@ -29,6 +32,8 @@ SPLIT = 64
 #: Pieces of a sequence from which on small neighbours are merged at commit.
 COMPACT = 256
 LONGEST_NAME = 9_999
+#: The file that notes a version every so many ones, so that opening a store does not list them all.
+NOTED, EVERY = "noted", 16
 
 
 class Store:
@@ -62,8 +67,20 @@ class Store:
     def versions(self) -> list[int]:
         return [int(n[1:-5]) for n in self.manifests.names() if n.startswith("v") and n.endswith(".json")]
 
+    def latest(self) -> int:
+        """The newest version: from the one last noted on, the first that has no successor; older ones are not listed."""
+        try:
+            version = int(self.manifests.read(NOTED))
+            if not self.manifests.has(f"v{version:012d}.json"):
+                raise ValueError
+        except Exception:  # none noted yet, or just being written
+            return max(self.versions())
+        while self.manifests.has(f"v{version + 1:012d}.json"):
+            version += 1
+        return version
+
     def manifest(self, version: int | None = None) -> dict:
-        version = max(self.versions()) if version is None else version
+        version = self.latest() if version is None else version
         return json.loads(self.manifests.read(f"v{version:012d}.json"))
 
     def history(self) -> list[tuple[int, str]]:
@@ -171,6 +188,8 @@ class Transaction:
         while True:
             state = state | {"version": base["version"] + 1, "note": "; ".join(self.notes)}
             if self.store.manifests.put_new(f"v{state['version']:012d}.json", json.dumps(state)):
+                if state["version"] % EVERY == 0:
+                    self.store.manifests.put(NOTED, str(state["version"]))
                 return state["version"]
             latest = self.store.manifest()
             merged = {}
@@ -273,18 +292,30 @@ class Transaction:
             return data.select(F.col(POS).cast("long").alias(POS), F.col(ELEM).cast(t.spark()).alias(ELEM))
         if isinstance(data, str):
             data = data.encode()
+        schema = T.StructType([T.StructField(POS, T.LongType()), T.StructField(ELEM, t.spark())])
         if hasattr(data, "tobytes") and hasattr(data, "dtype"):
-            data = data.tobytes() if t == types.Prim("u8") else data.tolist()
+            if t == types.Prim("u8"):
+                data = data.tobytes()
+            elif data.ndim == 1 and isinstance(t, types.Prim) and t.numpy and np.can_cast(data.dtype, t.numpy):
+                return self._columns(data.astype(t.numpy), schema)
+            else:
+                data = data.tolist()
         if isinstance(data, (bytes, bytearray, memoryview)):
             raw = bytes(data)
             if len(raw) % t.size:
                 raise InvalidArgumentError(f"{len(raw)} bytes are not whole elements of {t.size}")
-            data = list(raw) if t == types.Prim("u8") else [t.unpack(raw[i : i + t.size]) for i in range(0, len(raw), t.size)]
+            if isinstance(t, types.Prim) and t.numpy:
+                return self._columns(np.frombuffer(raw, dtype=t.numpy), schema)
+            data = [t.unpack(raw[i : i + t.size]) for i in range(0, len(raw), t.size)]
         else:
             data = [_stored(x, t) for x in data]
-        schema = T.StructType([T.StructField(POS, T.LongType()), T.StructField(ELEM, t.spark())])
         return self.store.spark.createDataFrame([(i, _row(x, t)) for i, x in enumerate(data)], schema)
 
+    def _columns(self, values: np.ndarray, schema: T.StructType) -> DataFrame:
+        """A numpy array as columns."""
+        elem = pa.array(values).cast(to_arrow_type(schema[ELEM].dataType))
+        return self.store.spark.createDataFrame(pa.table([pa.array(np.arange(len(values), dtype=np.int64)), elem], names=[POS, ELEM]), schema)
+
     def _put(self, name: str, source: DataFrame) -> Piece:
         """Writes a new file of the elements of `source`, checked against the variable's type and for dense positions."""
         t = self.type(name)
@@ -293,11 +324,27 @@ class Transaction:
         bad = F.raise_error(F.concat(F.lit(f"out of the range of {t}: "), F.coalesce(F.to_json(F.struct(ELEM)), F.lit("null"))))
         rows = source.select(F.col(POS).alias("fpos"), F.when(literals.fits(F.col(ELEM), t), F.col(ELEM)).otherwise(bad.cast(t.spark())).alias(ELEM))
         rows.sortWithinPartitions("fpos").write.parquet(path)
-        n, low, high, kinds = self.store.spark.read.schema(self._schema(name)).parquet(path).agg(F.count("*"), F.min("fpos"), F.max("fpos"), F.count_distinct("fpos")).first()
-        if n and (low, high, kinds) != (0, n - 1, n):
-            raise InvalidArgumentError(f"the positions of the source are not 0 to {n - 1}, each once")
+        n, apart = self._checked(name, path)
+        if not apart:
+            # ranges of the files overlap, so reads could not leave files out: write them once more, dealt by ranges
+            old, file = path, f"{self._entry(name)['id']}/{uuid.uuid4().hex}"
+            path = f"{self.store.path}/data/{file}"
+            self.store.spark.read.schema(self._schema(name)).parquet(old).repartitionByRange("fpos").sortWithinPartitions("fpos").write.parquet(path)
+            self.store.root.delete(f"data/{old.rsplit('/data/', 1)[1]}")
+            n, _ = self._checked(name, path)
         return Piece(file, 0, n)
 
+    def _checked(self, name: str, path: str) -> tuple[int, bool]:
+        """How many elements a new table has, after a check of its positions, and whether the ranges of its files are apart: from one row a file."""
+        rows = self.store.spark.read.schema(self._schema(name)).parquet(path).select("fpos", F.col("_metadata.file_name").alias("file"))
+        files = sorted(tuple(r) for r in positions.kinds(rows, "fpos", "file").select("low", "high", "n", "kinds").collect())
+        n, different = sum(f[2] for f in files), sum(f[3] for f in files)
+        apart = all(a[1] < b[0] for a, b in zip(files, files[1:], strict=False))
+        if apart and n and (files[0][0], files[-1][1], different) != (0, n - 1, n) or not apart and positions.kinds(rows, "fpos").first()[:] != (n, 0, n - 1, n):
+            self.store.root.delete(f"data/{path.rsplit('/data/', 1)[1]}")
+            raise InvalidArgumentError(f"the positions of the source are not 0 to {n - 1}, each once")
+        return n, apart
+
     def insert(self, name: str, data, offset: int | None = None) -> int:
         """Inserts before `offset`, at the end if that is None or beyond it; how many elements."""
         self._changing()
@@ -431,6 +478,17 @@ def _row(x, t: types.Type):
     return x
 
 
+def _variants(t: types.Type, above: accessors.Path = ()) -> tuple[accessors.Path, ...]:
+    """The paths of fields, ranges left out, that name a variant of a union."""
+    if isinstance(t, types.SArray):
+        return _variants(t.inner(), above)
+    if not isinstance(t, (types.Struct, types.Union)):
+        return ()
+    parts = t.variants if isinstance(t, types.Union) else t.fields
+    own = tuple((*above, accessors.Field(n)) for n, _ in parts) if isinstance(t, types.Union) else ()
+    return own + tuple(p for n, f in parts for p in _variants(f, (*above, accessors.Field(n))))
+
+
 class Variable:
     """A sequence by its name, in a store (each change a transaction of its own) or in a transaction.
 
@@ -472,19 +530,19 @@ class Variable:
     def append(self, data) -> int:
         return self._change(lambda tx: tx.insert(self.name, data))
 
-    def write(self, data, offset: int = 0, stride: int = 1, n: int | None = None, accessor: str | None = None) -> int:
-        """Overwrites elements or, with an accessor of struct fields, only that part of each."""
+    def write(self, data, offset: int = 0, stride: int = 1, n: int | None = None, accessor: str | accessors.Path | None = None) -> int:
+        """Overwrites elements or, with an accessor of fields and ranges, only that part of each."""
         if accessor is None:
             return self._change(lambda tx: tx.write(self.name, data, offset, stride, n))
-        path = accessors.parse(accessor)
-        if not all(isinstance(p, accessors.Field) for p in path):
-            raise StatementError("only fields can be written by an accessor")
+        path = accessors.parse(accessor) if isinstance(accessor, str) else accessor
 
         def work(tx: Transaction) -> int:
             old = tx.read(self.name, offset, stride, n)
-            new = data if isinstance(data, DataFrame) else tx.store.spark.createDataFrame([(i, x) for i, x in enumerate(data)], f"{POS} long, {ELEM} {accessors.select(old, path).schema[ELEM].dataType.simpleString()}")
-            met = old.join(new.select(POS, F.col(ELEM).alias("_new")), POS).select(POS, F.col(ELEM).withField(".".join(p.name for p in path), F.col("_new")).alias(ELEM))
-            return tx.write(self.name, met, offset, stride, n)
+            kind = accessors.select(old, path).schema[ELEM].dataType
+            rows = data if isinstance(data, DataFrame) else tx.store.spark.createDataFrame(list(enumerate(data)), T.StructType([T.StructField(POS, T.LongType()), T.StructField(ELEM, kind)]))
+            met = old.join(rows.select(POS, F.col(ELEM).cast(kind).alias("_new")), POS)
+            new = accessors.replaced(F.col(ELEM), path, F.col("_new"), _variants(tx.type(self.name)))
+            return tx.write(self.name, met.select(POS, new.alias(ELEM)), offset, stride, n)
 
         return self._change(work)
 
@@ -515,6 +573,8 @@ class Variable:
     def to_bytes(self, key: slice = slice(None)) -> bytes:
         """Elements in the packed form, on the driver."""
         t = self.type
+        if isinstance(t, types.Prim) and t.numpy:
+            return self[key].orderBy(POS).select(ELEM).toArrow().column(0).to_numpy().astype(t.numpy).tobytes()
         return b"".join(t.pack(x.asDict(recursive=True) if hasattr(x, "asDict") else x) for x in self.values(key))
 
 

@@ -8,7 +8,6 @@ grows at its end, and says so otherwise.
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable
 from concurrent.futures import Future, ThreadPoolExecutor
@@ -56,19 +55,26 @@ def write_stream(store: Store, name: str, offset: int, stride: int, rows: DataFr
     return _sink(store, rows, stream_id, checkpoint, order, elem, lambda tx, batch, before: tx.write(name, batch, offset + before * stride, stride), available_now)
 
 
+def _versions(store: Store) -> DataFrame:
+    """The numbers of the versions of a store, as they are published; their texts are not looked at."""
+    files = store.spark.readStream.schema("value string").option("wholetext", True).text(store.manifests.path, pathGlobFilter="v*.json")
+    return files.select(F.regexp_extract("_metadata.file_name", r"^v([0-9]+)\.json$", 1).cast("long").alias("version"))
+
+
 def follow(store: Store, name: str, each: Callable[[DataFrame, int], None], *, checkpoint: str, start: int = 0, stride: int = 1, available_now: bool = False) -> StreamingQuery:
     """Calls each(elements, batch) with the elements start, start + stride, ... that new versions have added, by (pos, elem), pos counting them from 0."""
     spark = store.spark
-    versions = spark.readStream.schema("value string").option("wholetext", True).text(store.manifests.path, pathGlobFilter="v*.json")
+    versions = _versions(store)
 
     def length(manifest: dict) -> int:
         return sum(p[2] for p in manifest["variables"].get(name, {"pieces": []})["pieces"])
 
     def batch(files: DataFrame, number: int) -> None:
-        texts = [json.loads(r.value) for r in files.collect()]  # versions, not data
-        if not texts:
+        # of the new versions the least and the greatest, by the names of their files
+        low, high = files.agg(F.min("version"), F.max("version")).first()
+        if low is None:
             return
-        first, last = min(texts, key=lambda m: m["version"]), max(texts, key=lambda m: m["version"])
+        first, last = store.manifest(low), store.manifest(high)
         before = store.manifest(first["version"] - 1) if first["version"] else {"variables": {}}
         old, new = before["variables"].get(name, {"pieces": []}), last["variables"].get(name, {"pieces": []})
         if new["pieces"][: len(old["pieces"])] != old["pieces"]:
@@ -86,7 +92,7 @@ def follow(store: Store, name: str, each: Callable[[DataFrame, int], None], *, c
 
 def take_stream(store: Store, name: str, each: Callable[[DataFrame, int], None], *, stream_id: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Takes what is there whenever a version is published: a batch is removed from the variable once `each` has returned."""
-    versions = store.spark.readStream.schema("value string").option("wholetext", True).text(store.manifests.path, pathGlobFilter="v*.json")
+    versions = _versions(store)
 
     def batch(_: DataFrame, number: int) -> None:
         with store.begin() as tx:
