@@ -6,16 +6,22 @@
 
 from __future__ import annotations
 
+import io
+import json
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqwell import errors
 from seqwell.functions import literals, scalar, types
 from seqwell.operators import accessors, ingest, positions
 from seqwell.operators.positions import ELEM, POS
 from seqwell.plans import language
 from seqwell.sources import bytes as byte_view
+from seqwell.sources.bytes import ByteStore
+from seqwell.sources.files import Folder
 from seqwell.sources.store import Store
 from seqwell.sources.workspace import workspace
 from seqwell.streaming import streams
@@ -109,10 +115,18 @@ def _write(name: str, offset: int, stride: int, n: int) -> None:
     query(sql, name)(lambda spark, sf_dir: positions.write(events(spark, sf_dir), prices(spark, sf_dir, n), offset, stride, n))
 
 
-for _name, _pattern in {"write_contiguous": (100, 1, 300), "write_strided": (3, 7, 100), "write_clipped_at_eof": (990, 3, 1_200), "write_past_eof_noop": (10_000_000, 1, 5)}.items():
+for _name, _pattern in {"write_contiguous": (100, 1, 300), "write_strided": (3, 7, 100), "write_past_eof_noop": (10_000_000, 1, 5)}.items():
     _write(_name, *_pattern)
 
 
+@query(f"""WITH {EVENTS}, {SOURCE.format(n=1_200)}, n AS (SELECT count(*) AS n FROM events)
+  SELECT e.pos, CASE WHEN s.pos IS NULL THEN e.elem ELSE s.elem END AS elem FROM events_ e CROSS JOIN n LEFT JOIN src s ON e.pos = n - 31 + s.pos * 3""")
+def write_clipped_at_eof(spark, sf_dir):
+    # 11 elements are left from there on, for 1,200 that are given
+    seq = events(spark, sf_dir)
+    return positions.write(seq, prices(spark, sf_dir, 1_200), positions.length(seq) - 31, 3, 1_200)
+
+
 def _remove(name: str, offset: int, stride: int, n: int | None) -> None:
     end = "" if n is None else f" AND event_id < {offset + n * stride}"
     gone = f"event_id >= {offset}{end} AND (event_id - {offset}) % {stride} = 0"
@@ -390,6 +404,182 @@ def store_compact(spark, sf_dir):
     return v[:]
 
 
+def _rows(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def _outcome(work: Callable) -> str:
+    """The name of the error that a call raises, or what it returns."""
+    try:
+        return str(work())
+    except errors.SequenceError as e:
+        return type(e).__name__
+
+
+@query("SELECT count(*) AS len, 8 * count(*) AS size, count(*) AS typed FROM events")
+def store_length_size(spark, sf_dir):
+    store = _stored(spark, sf_dir)
+    v = store.get("events")
+    return _rows(spark, "len long, size long, typed long", [(len(v), v.size(), store.begin().length("events"))])
+
+
+@query("""SELECT * FROM (VALUES ('create', 'made'), ('create again', 'DuplicateVariableError'), ('no name', 'InvalidArgumentError'), ('get missing', 'NoSuchVariableError'), ('delete', 'None'),
+  ('delete again', 'NoSuchVariableError'), ('create anew', 'empty'), ('negative offset', 'InvalidArgumentError'), ('gap in positions', 'InvalidArgumentError'), ('names', '[''a'']'), ('error', 'kept'), ('reset', 'None')) t(step, outcome)""")
+def catalog_and_errors(spark, sf_dir):
+    store = Store(spark, workspace(spark))
+    done = [("create", _outcome(lambda: (store.create("a", "i64"), "made")[1])), ("create again", _outcome(lambda: store.create("a", "i64"))), ("no name", _outcome(lambda: store.create(""))), ("get missing", _outcome(lambda: store.get("b")))]
+    store.get("a").append([1, 2])
+    done += [("delete", _outcome(lambda: store.delete("a"))), ("delete again", _outcome(lambda: store.delete("a"))), ("create anew", _outcome(lambda: "empty" if not len(store.create("a", "i64")) else "full"))]
+    gap = spark.createDataFrame([(0, 1), (2, 1)], "pos long, elem long")
+    done += [("negative offset", _outcome(lambda: store.get("a").insert(-1, [1]))), ("gap in positions", _outcome(lambda: store.get("a").insert(0, gap))), ("names", str(store.names()))]
+    done.append(("error", "kept" if "InvalidArgumentError" in (store.error() or "") else "lost"))
+    store.reset_errors()
+    return _rows(spark, "step string, outcome string", [*done, ("reset", str(store.error()))])
+
+
+@query(f"WITH {EVENTS}, {SOURCE.format(n=7)} SELECT pos + (SELECT count(*) FROM src) AS pos, elem, 'ConflictError' AS second, 'DuplicateCommitError' AS again FROM events_ UNION ALL SELECT pos, elem, 'ConflictError', 'DuplicateCommitError' FROM src")
+def txn_conflict(spark, sf_dir):
+    """Two transactions change one variable: the first to commit wins, the other one's changes are nowhere."""
+    store = _stored(spark, sf_dir)
+    first, second = store.begin(), store.begin()
+    first.insert("events", prices(spark, sf_dir, 7), 0)
+    second.remove("events", 0, 2, 100)
+    first.commit()
+    lost, again = _outcome(second.commit), _outcome(first.commit)
+    return store.get("events")[:].select(POS, ELEM, F.lit(lost).alias("second"), F.lit(again).alias("again"))
+
+
+@query(f"WITH {EVENTS}, {SOURCE.format(n=9)} SELECT 'events' AS name, pos, elem FROM events_ WHERE pos >= 30 UNION ALL SELECT 'other', pos + 30, elem FROM src")
+def txn_merge_apart(spark, sf_dir):
+    """Two transactions that change different variables are merged."""
+    store = _stored(spark, sf_dir)
+    store.create("other", "f64")
+    first, second = store.begin(), store.begin()
+    first.remove("events", 0, 1, 30)
+    second.insert("other", prices(spark, sf_dir, 9))
+    first.commit()
+    second.commit()
+    shown = store.get("events")[:].select(F.lit("events").alias("name"), (F.col(POS) + 30).alias(POS), ELEM)
+    return shown.unionByName(store.get("other")[:].select(F.lit("other").alias("name"), (F.col(POS) + 30).alias(POS), ELEM))
+
+
+@query(f"WITH {EVENTS} SELECT pos, elem, true AS gone FROM events_")
+def recovery_and_vacuum(spark, sf_dir):
+    """A writer that dies before its commit leaves files that no version names: nothing is seen of them, and they can be removed."""
+    store = _stored(spark, sf_dir)
+    dead = store.begin()
+    dead.insert("events", prices(spark, sf_dir, 40), 0)
+    orphan = dead._pieces("events").pieces[0].file
+    again = Store(spark, store.path)
+    return again.get("events")[:].withColumn("gone", F.lit(orphan in again.vacuum()))
+
+
+@query(f"WITH {EVENTS}, {SOURCE.format(n=20)} SELECT count(*) + 20 AS n, 3 AS pieces, 0 AS first, 500 AS second, 520 AS third, 500 AS at_500, 0 AS skip, 1 AS piece, 'create events; insert events 0 ' || count(*) || '; insert events 500 20' AS said FROM events")
+def store_pieces(spark, sf_dir):
+    """Length after validation, the pieces of a variable, which of them holds a position, and the history."""
+    store = _stored(spark, sf_dir)
+    store.get("events").insert(500, prices(spark, sf_dir, 20))
+    pieces = store.begin()._pieces("events")
+    piece, skip = pieces.seek(500)
+    at = [r.pos for r in store.describe("events").orderBy(POS).collect()]
+    said = "; ".join(note for v, note in store.history() if v)
+    return _rows(spark, "n long, pieces int, first int, second int, third int, at_500 int, skip int, piece int, said string", [(store.validate("events"), len(at), *at, at[piece], skip, piece, said)])
+
+
+@query(f"WITH {EVENTS}, {SOURCE.format(n=50)} SELECT row_number() OVER (ORDER BY pos) - 1 AS pos, elem FROM (SELECT e.pos, CASE WHEN s.pos IS NULL THEN e.elem ELSE s.elem END AS elem FROM events_ e LEFT JOIN src s ON e.pos = 10 + s.pos * 4) WHERE NOT (pos >= 20 AND pos < 320 AND (pos - 20) % 3 = 0)")
+def slice_set_and_delete(spark, sf_dir):
+    store = _stored(spark, sf_dir)
+    v = store.get("events")
+    v[10:20:4] = prices(spark, sf_dir, 50)  # as many as are given, whatever the stop says
+    del v[20:320:3]
+    return v[:]
+
+
+def _vector_store(spark: SparkSession, sf_dir: str) -> Store:
+    store = Store(spark, workspace(spark))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias(POS), F.struct(F.col("label").cast("long").alias("id"), F.col("embedding").alias("wave")).alias(ELEM))
+    store.create("v", "struct { id u32, wave [64] f32 }").append(rows)
+    return store
+
+
+WAVES = "SELECT vec_id AS pos, label::BIGINT AS id, {wave} AS wave FROM embeddings"
+
+
+@query(WAVES.format(wave="CASE WHEN vec_id >= 3 AND vec_id < 303 AND vec_id % 3 = 0 THEN list_concat(embedding[1:8], [(vec_id - 3)::FLOAT, embedding[10], 1::FLOAT, embedding[12], 2::FLOAT], embedding[14:64]) ELSE embedding END"))
+def accessor_write_range(spark, sf_dir):
+    """Three elements of an array inside of every third struct are overwritten."""
+    store = _vector_store(spark, sf_dir)
+    new = spark.range(100).select(F.col("id").alias(POS), F.array((F.col("id") * 3).cast("float"), F.lit(1.0).cast("float"), F.lit(2.0).cast("float")).alias(ELEM))
+    store.get("v").write(new, 3, 3, 100, "wave[8:13:2]")
+    return store.get("v")[:].select(POS, "elem.*")
+
+
+@query(WAVES.format(wave="CASE WHEN vec_id < 2 THEN list_concat([9::FLOAT, 8::FLOAT], embedding[3:64]) ELSE embedding END"))
+def statement_write_accessor(spark, sf_dir):
+    store = _vector_store(spark, sf_dir)
+    done = language.execute(store, "write v.wave[0:2] 0:2; read v;", {"v": [[9.0, 8.0], [9.0, 8.0]]})
+    return done[-1].value.select(POS, "elem.*")
+
+
+@query("SELECT (vec_id - 10) // 2 AS pos, embedding[61:64] AS elem, (SELECT count(*) - 100 FROM embeddings) AS left_over FROM embeddings WHERE vec_id >= 10 AND vec_id < 210 AND vec_id % 2 = 0")
+def accessor_take(spark, sf_dir):
+    store = _vector_store(spark, sf_dir)
+    taken = store.get("v").take(10, 2, 100, accessor="wave[60:]")
+    return taken.withColumn("left_over", F.lit(len(store.get("v"))).cast("long"))
+
+
+@query("""SELECT * FROM (VALUES (0::BIGINT, 'num', 3::BIGINT, NULL::DOUBLE), (1, 'real', NULL, 2.5), (2, 'num', 7, NULL), (3, 'real', NULL, 9.0)) t(pos, _tag, num, real)""")
+def accessor_write_variant(spark, sf_dir):
+    """A variant that is written becomes the one that is set."""
+    store = Store(spark, workspace(spark))
+    v = store.create("u", "union { num i64, real f64 }")
+    v.append([{"num": 3}, {"real": 2.5}, {"real": 4.5}, {"num": 1}])
+    v.write([7], 2, accessor="num")
+    v.write([9.0], 3, accessor="real")
+    return v[:].select(POS, "elem.*")
+
+
+@query("""WITH raw AS (SELECT string_agg(n_name, '' ORDER BY n_nationkey) AS t FROM nation), b AS (SELECT 'xyz' || t[1:2] || '__' || t[3:] AS t FROM raw),
+w AS (SELECT t[1:4] || 'AB' || t[7:10] || 'CD' || t[13:16] || 'EF' || t[19:] AS t FROM b), r AS (SELECT t[1] || t[4:5] || t[8:9] || t[12:] AS t, t[2:3] || t[6:7] || t[10:11] AS taken FROM w)
+SELECT i - 1 AS pos, ascii(t[i])::SMALLINT AS elem, taken FROM r, range(1, 100000) x(i) WHERE i <= length(t)""")
+def byte_store(spark, sf_dir):
+    """Bytes inserted, overwritten, removed and taken by elements of two bytes: offsets count bytes, strides elements."""
+    raw = "".join(r.n_name for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()).encode()
+    with ByteStore(spark, workspace(spark)) as store:
+        store.create("b")
+        tx = store.begin()
+        store.insert("b", raw, 0, tx=tx)
+        store.insert("b", b"xyz", 0, tx=tx)
+        store.commit(tx)
+        store.insert("b", b"__?", 5, size=2)
+        store.write("b", b"ABCDEF", size=2, offset=4, stride=3)
+        taken = store.remove("b", size=2, offset=1, stride=2, n=3, take=True)
+        rows = store.store.get("b")[:]
+    return rows.select(POS, ELEM, F.lit(taken.decode()).alias("taken"))
+
+
+@query("""WITH t AS (SELECT string_agg(n_name, '' ORDER BY lpad(n_nationkey::VARCHAR, 4, '0')) AS t FROM nation) SELECT i - 1 AS pos, ascii(t[i])::SMALLINT AS elem FROM t, range(1, 100000) x(i) WHERE i <= length(t)""")
+def files_as_source(spark, sf_dir):
+    at = workspace(spark)
+    folder = Folder(spark, f"{at}/files")
+    for r in table(spark, sf_dir, "nation").collect():  # a file for each of 25 nations
+        folder.put_new(f"{r.n_nationkey:04d}", r.n_name)
+    store = Store(spark, f"{at}/store")
+    store.create("b", "u8").append(byte_view.from_files(spark, folder.path))
+    return store.get("b")[:]
+
+
+@query("SELECT * FROM (VALUES (0::BIGINT, 104::SMALLINT, 'hé\u0001'), (1, 195, 'hé\u0001'), (2, 169, 'hé\u0001'), (3, 1, 'hé\u0001'), (4, 255, 'hé\u0001')) t(pos, elem, said)".replace("\\u0001", "\x01"))
+def buffers_in_and_out(spark, sf_dir):
+    """A string goes in as UTF-8, bytes as they are, an array by its bytes; bytes come out."""
+    store = Store(spark, workspace(spark))
+    v = store.create("b", "u8")
+    v.append("hé")
+    v.append(b"\x01")
+    v.append(np.array([255], dtype=np.uint8))
+    return v[:].select(POS, ELEM, F.lit(v.to_bytes(slice(0, 4)).decode()).alias("said"))
+
+
 @query("SELECT (event_id - 10) // 4 AS pos, value AS elem FROM events WHERE event_id >= 10 AND event_id < 410 AND (event_id - 10) % 4 = 0")
 def statement_read(spark, sf_dir):
     return language.execute(_stored(spark, sf_dir), "read events 10:410:4;")[0].value
@@ -402,6 +592,57 @@ def statement_script(spark, sf_dir):
     return done[-1].value
 
 
+@query(f"WITH {EVENTS} SELECT pos + 20 AS pos, elem FROM events_ WHERE pos < 50 UNION ALL SELECT pos, elem FROM events_ WHERE pos < 20")
+def statement_ports(spark, sf_dir):
+    """What comes by a port goes where the statement says, in each of the forms."""
+    store = Store(spark, workspace(spark))
+    source = events(spark, sf_dir)
+    done = language.execute(store, "create copy f64; insert copy:9 0 (50); insert copy 7 0 20; close copy:9; read copy:1;", {9: source, 7: source})
+    return done[-1].value
+
+
+@query("""SELECT * FROM (VALUES (0, 'StatementError'), (1, 'StatementError'), (2, 'NoSuchVariableError'), (3, 'None'), (4, 'StatementError'), (5, 'InvalidArgumentError'), (6, 'None'), (7, 'StatementError')) t(statement, outcome)""")
+def statement_errors(spark, sf_dir):
+    """A statement with an error is reported and skipped up to its semicolon; those after it run."""
+    text = 'create ; read v 0:1:0; read nothing; create v i32; insert v 0 1 2 3; insert v 0; delete v; remove v $ ;'
+    done = language.execute(Store(spark, workspace(spark)), text)
+    return _rows(spark, "statement int, outcome string", [(i, type(r.error).__name__ if r.error else str(None)) for i, r in enumerate(done)])
+
+
+@query("SELECT n_nationkey AS k, ((((n_nationkey + 2) * -3) % 5) + 5) % 5 AS grouped, n_nationkey + 2 * -3 AS bare, (n_nationkey > 4 AND NOT (n_nationkey > 9)) AS logic FROM nation")
+def expr_grouping(spark, sf_dir):
+    keys = [r.n_nationkey for r in table(spark, sf_dir, "nation").collect()]  # 25 literals
+    rows = [(k, language.evaluate(f"(({k} + 2)) * -3 % 5"), language.evaluate(f"{k} + 2 * -3"), language.evaluate(f"{k} > 4 && !({k} > 9)")) for k in keys]
+    return _rows(spark, "k int, grouped int, bare int, logic boolean", rows)
+
+
+@query(f"SELECT {KEYS}, xor((l_discount <> 0)::BIGINT, l_partkey) AS x, (l_discount <> 0)::BIGINT | l_partkey AS o, (l_discount <> 0) AND (l_linenumber > 2) AS both FROM lineitem")
+def expr_bitwise_mixed(spark, sf_dir):
+    """Booleans among whole numbers count as 0 and 1."""
+    df, v = _values(spark, sf_dir)
+    some, other = scalar.Value(v["l_discount"].truthy(), "bool"), scalar.Value(F.col("l_linenumber") > 2, "bool")
+    return _shown(df, x=some ^ v["l_partkey"], o=some | v["l_partkey"], both=scalar.Value((some & other).truthy(), "bool"))
+
+
+@query("SELECT o_orderkey AS pos, o_orderstatus = 'F' AND o_orderkey % 2 = 0 AS same, o_orderstatus <> 'F' OR o_orderkey % 2 <> 0 AS differ FROM orders")
+def expr_object_equality(spark, sf_dir):
+    df = orders(spark, sf_dir).select(POS, F.struct("elem.status", (F.col(POS) % 2).alias("odd")).alias("a"), F.struct(F.lit("F").alias("status"), F.lit(0).cast("long").alias("odd")).alias("b"))
+    a, b = scalar.value(df, "a"), scalar.value(df, "b")
+    return df.select(POS, (a == b).column.alias("same"), (a != b).column.alias("differ"))
+
+
+@query("SELECT event_id // 5 AS pos, value AS elem FROM events WHERE event_id < 500 AND event_id % 5 = 0")
+def command_line(spark, sf_dir):
+    """Elements as lines of JSON in, statements, lines of JSON out."""
+    from seqwell.__main__ import main
+
+    given = "\n".join(json.dumps(r.elem) for r in positions.read(events(spark, sf_dir), 0, 1, 500).orderBy(POS).collect())
+    out = io.StringIO()
+    main([workspace(spark), "create v f64; insert v 0; read v 0:500:5;"], io.StringIO(given), out, spark)
+    rows = [x for x in map(json.loads, out.getvalue().splitlines()) if "elem" in x]
+    return _rows(spark, "pos long, elem double", [(x[POS], x[ELEM]) for x in rows])
+
+
 @query("SELECT (event_id * 8 + k - 5) // 24 * 6 + (event_id * 8 + k - 5) % 24 AS pos, (event_id * 8 + k) % 256 AS elem FROM events, range(8) r(k) WHERE event_id * 8 + k >= 5 AND event_id * 8 + k < 5 + 24 * 300 AND (event_id * 8 + k - 5) % 24 < 6")
 def byte_blocks_read(spark, sf_dir):
     raw = table(spark, sf_dir, "events").select(F.explode(F.sequence(F.col("event_id") * 8, F.col("event_id") * 8 + 7)).alias(POS))
@@ -421,6 +662,73 @@ def stream_append(spark, sf_dir):
     return store.get("events")[:]
 
 
+def _arriving(spark: SparkSession, sf_dir: str, at: str, n: int) -> DataFrame:
+    """The first n order prices as a stream of several files."""
+    rows = positions.read(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias(POS), F.col("o_totalprice").alias(ELEM)), 0, 1, n)
+    rows.repartitionByRange(3, POS).write.parquet(f"{at}/in")
+    return spark.readStream.schema(rows.schema).parquet(f"{at}/in")
+
+
+def _stream_into(sink: Callable, spark: SparkSession, sf_dir: str, n: int, *where) -> DataFrame:
+    store, at = _stored(spark, sf_dir), workspace(spark)
+    sink(store, "events", *where, _arriving(spark, sf_dir, at, n), order=[POS], elem=F.col(ELEM), stream_id="in", checkpoint=f"{at}/checkpoint", available_now=True).awaitTermination()
+    return store.get("events")[:]
+
+
+@query(f"WITH {EVENTS}, {SOURCE.format(n=60)} SELECT CASE WHEN pos >= 100 THEN pos + 60 ELSE pos END AS pos, elem FROM events_ UNION ALL SELECT pos + 100, elem FROM src")
+def stream_insert(spark, sf_dir):
+    return _stream_into(streams.insert_stream, spark, sf_dir, 60, 100)
+
+
+@query(f"WITH {EVENTS}, {SOURCE.format(n=60)} SELECT e.pos, CASE WHEN s.pos IS NULL THEN e.elem ELSE s.elem END AS elem FROM events_ e LEFT JOIN src s ON e.pos = 50 + s.pos * 3")
+def stream_write(spark, sf_dir):
+    return _stream_into(streams.write_stream, spark, sf_dir, 60, 50, 3)
+
+
+@query(f"WITH {EVENTS}, {SOURCE.format(n=30)}, whole AS (SELECT pos, elem FROM events_ UNION ALL SELECT pos + (SELECT count(*) FROM events), elem FROM src) SELECT (pos - 4) // 3 AS pos, elem FROM whole WHERE pos >= 4 AND (pos - 4) % 3 = 0")
+def stream_follow(spark, sf_dir):
+    """Every third element from 4 on, as versions add them; the second run goes on where the first one stopped."""
+    store, at = _stored(spark, sf_dir), workspace(spark)
+    seen: list[str] = []
+
+    def each(rows: DataFrame, number: int) -> None:
+        seen.append(f"{at}/seen/{number}")
+        rows.write.parquet(seen[-1])
+
+    for _ in range(2):
+        streams.follow(store, "events", each, checkpoint=f"{at}/checkpoint", start=4, stride=3, available_now=True).awaitTermination()
+        if len(store.versions()) < 4:
+            store.get("events").append(prices(spark, sf_dir, 30))
+    return spark.read.parquet(*seen)
+
+
+@query(f"WITH {EVENTS} SELECT pos, elem, 0 AS left_over FROM events_")
+def stream_take(spark, sf_dir):
+    store, at = _stored(spark, sf_dir), workspace(spark)
+    streams.take_stream(store, "events", lambda rows, number: rows.write.parquet(f"{at}/taken/{number}"), stream_id="t", checkpoint=f"{at}/checkpoint", available_now=True).awaitTermination()
+    return spark.read.option("recursiveFileLookup", True).parquet(f"{at}/taken").withColumn("left_over", F.lit(len(store.get("events"))))
+
+
+@query(f"WITH {EVENTS}, {SOURCE.format(n=25)} SELECT pos, elem, 'stopped' AS state FROM events_ UNION ALL SELECT pos + (SELECT count(*) FROM events), elem, 'stopped' FROM src")
+def stream_close(spark, sf_dir):
+    """A stream without an end is closed by a statement, once what has arrived is there."""
+    store, at = _stored(spark, sf_dir), workspace(spark)
+    stream = streams.append_stream(store, "events", _arriving(spark, sf_dir, at, 25), order=[POS], elem=F.col(ELEM), stream_id="in", checkpoint=f"{at}/checkpoint")
+    stream.processAllAvailable()
+    language.execute(store, "close events:5;", {5: stream})
+    return store.get("events")[:].withColumn("state", F.lit("running" if stream.isActive else "stopped"))
+
+
+@query(f"WITH {EVENTS}, {SOURCE.format(n=10)} SELECT pos + 10 AS pos, elem, 25 AS said FROM events_ WHERE pos < (SELECT count(*) FROM events) - 15 UNION ALL SELECT pos, elem, 25 FROM src")
+def requests_async(spark, sf_dir):
+    """Calls that return at once, done one after the other."""
+    store = _stored(spark, sf_dir)
+    v, n = store.get("events"), events(spark, sf_dir).count()
+    with streams.Requests() as requests:
+        done = [requests.submit(v.insert, 0, prices(spark, sf_dir, 10)), requests.submit(v.remove, n - 5, 1, 100)]
+    return v[:].withColumn("said", F.lit(sum(d.result() for d in done)))
+
+
 @query(f"WITH {EVENTS}, n AS (SELECT count(*) AS n FROM events) SELECT pos - n + 100 AS pos, elem FROM events_, n WHERE pos >= n - 100")
 def window_last(spark, sf_dir):
     return streams.Window(_stored(spark, sf_dir), "events", 100).read()

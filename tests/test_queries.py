@@ -25,7 +25,7 @@ def plain(x):
 def test_query(spark, name):
     out = QUERIES[name](spark, DATA)
     with duckdb.connect() as db:
-        for table in ("events", "orders", "lineitem", "embeddings"):
+        for table in ("events", "orders", "lineitem", "embeddings", "nation"):
             db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
         want = db.execute(ORACLES[name])
         columns = [c[0] for c in want.description]
