@@ -316,14 +316,14 @@ class Transaction:
         elem = pa.array(values).cast(to_arrow_type(schema[ELEM].dataType))
         return self.store.spark.createDataFrame(pa.table([pa.array(np.arange(len(values), dtype=np.int64)), elem], names=[POS, ELEM]), schema)
 
-    def _put(self, name: str, source: DataFrame) -> Piece:
-        """Writes a new file of the elements of `source`, checked against the variable's type and for dense positions."""
+    def _put(self, name: str, source: DataFrame, *, joined: bool = False) -> Piece:
+        """Writes a new file of the elements of `source`, checked against the variable's type and for dense positions. joined: a join has left them in no order."""
         t = self.type(name)
         file = f"{self._entry(name)['id']}/{uuid.uuid4().hex}"
         path = f"{self.store.path}/data/{file}"
         bad = F.raise_error(F.concat(F.lit(f"out of the range of {t}: "), F.coalesce(F.to_json(F.struct(ELEM)), F.lit("null"))))
         rows = source.select(F.col(POS).alias("fpos"), F.when(literals.fits(F.col(ELEM), t), F.col(ELEM)).otherwise(bad.cast(t.spark())).alias(ELEM))
-        rows.sortWithinPartitions("fpos").write.parquet(path)
+        (rows.repartitionByRange("fpos") if joined else rows).sortWithinPartitions("fpos").write.parquet(path)
         n, apart = self._checked(name, path)
         if not apart:
             # ranges of the files overlap, so reads could not leave files out: write them once more, dealt by ranges
@@ -379,7 +379,7 @@ class Transaction:
             end = offset + (m - 1) * stride + 1
             old = self._scan(name, offset, end).select((F.col(POS) - offset).alias(POS), ELEM)
             source = self.store.spark.read.schema(self._schema(name)).parquet(f"{self.store.path}/data/{new.file}").withColumnRenamed("fpos", POS)
-            pieces = pieces.replace(offset, [self._put(name, positions.write(old, source, 0, stride, m))])
+            pieces = pieces.replace(offset, [self._put(name, positions.write(old, source, 0, stride, m), joined=True)])
         if m:
             self._set(name, pieces, f"write {name} {offset} {stride} {m}")
             self._compact_if_many(name)
