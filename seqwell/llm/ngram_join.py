@@ -48,7 +48,7 @@ COMMON = 500
 #: N-grams that are counted in a task on average at most, and that a block of texts gathers before it is dealt to the tasks.
 COUNTED, GATHER = 1 << 21, 1 << 19
 #: Leaders of a bucket in the round after the first one, and how many times more each further round has.
-LEADERS, GROWTH = 4, 16
+LEADERS, GROWTH = 16, 16
 #: The fragment of common n-grams, the last of the global order.
 LAST = 255
 
