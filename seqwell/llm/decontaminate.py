@@ -310,16 +310,19 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
             hit = np.flatnonzero(pa.compute.list_value_length(batch.column(len(kept) + 1)).fill_null(0).to_numpy(zero_copy_only=False))
             texts = batch.column(at)
             if len(hit):
-                new = texts.to_pylist()
-                for i, spans in zip(hit.tolist(), batch.column(len(kept) + 1).take(pa.array(hit)).to_pylist(), strict=True):
-                    raw = new[i].encode()
+                # only texts with a hit leave Arrow
+                some, new = pa.array(hit), []
+                for text_, spans in zip(texts.take(some), batch.column(len(kept) + 1).take(some), strict=True):
+                    raw, spans = text_.as_buffer().to_pybytes(), spans.as_py()
                     block = Block(0, np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]), ALNUM)
                     end, left = 0, []
                     for x in spans:
                         left.append(raw[end : block.starts[x["begin"]]])
                         end = int(block.ends[x["end"] - 1])
-                    new[i] = b"".join([*left, raw[end:]]).decode()
-                texts = pa.array(new, texts.type)
+                    new.append(b"".join([*left, raw[end:]]).decode())
+                mask = np.zeros(len(batch), dtype=bool)
+                mask[hit] = True
+                texts = pa.compute.replace_with_mask(texts, pa.array(mask), pa.array(new, texts.type))
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], texts, *batch.columns[at + 1 :]], names=batch.schema.names)
 
     cut = found.mapInArrow(tidy(run), found.schema)
