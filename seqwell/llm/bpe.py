@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from seqwell.llm.words import tidy
 
 LONG = 64
 #: Pieces that a worker keeps the ids of, and pieces that are merged at once.
-CACHE, TOGETHER = 120_000, 20_000
+CACHE, TOGETHER = 200_000, 20_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -52,9 +53,15 @@ class Vocabulary:
         self.token_length = np.array([len(t) for t in token], dtype=np.int64)
         self.token_start = np.cumsum(self.token_length) - self.token_length
         self.token_bytes = np.frombuffer(b"".join(token), dtype=np.uint8)
-        self.known: dict[str, np.ndarray] = {}
+        self._forget()
         self.slots: np.ndarray | None = None
 
+    def _forget(self) -> None:
+        """No piece is known: pieces have numbers, and by number where their ids begin in one array, and how many they are."""
+        self.known: dict[str, int] = {}
+        self.start, self.count = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.ids = np.zeros(0, dtype=np.int32)
+
     def _pairs(self) -> None:
         """The table of pairs, which only encoding needs."""
         pairs = [(self.ranks[t[:i]] * self.size + self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
@@ -148,31 +155,49 @@ class Vocabulary:
 
     def learn(self, pieces: list[str]) -> None:
         """Puts the ids of new pieces into the cache."""
-        buckets: dict[int, list[tuple[str, bytes]]] = {}
-        for p in pieces:
+        buckets: dict[int, list[tuple[int, bytes]]] = {}
+        found: list = [None] * len(pieces)
+        for i, p in enumerate(pieces):
             raw = p.encode()
             if (whole := self.ranks.get(raw)) is not None:
-                self.known[p] = np.array([whole], dtype=np.int32)
+                found[i] = (whole,)
             elif len(raw) > LONG:
-                self.known[p] = self.merge_long(raw)
+                found[i] = self.merge_long(raw)
             else:
-                buckets.setdefault(-(-len(raw) // 4), []).append((p, raw))
+                buckets.setdefault(-(-len(raw) // 4), []).append((i, raw))
         for rows in buckets.values():
-            for i in range(0, len(rows), TOGETHER):
-                some = rows[i : i + TOGETHER]
-                for (p, _), ids in zip(some, self.merge_rows([r for _, r in some]), strict=True):
-                    self.known[p] = ids
+            for k in range(0, len(rows), TOGETHER):
+                some = rows[k : k + TOGETHER]
+                for (i, _), ids in zip(some, self.merge_rows([r for _, r in some]), strict=True):
+                    found[i] = ids.tolist()
+        count = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(count.sum()))])
+
+    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin and the last one's end."""
+        pieces = [self.pattern.findall(t) if t else [] for t in texts]
+        flat = list(chain.from_iterable(pieces))
+        number = np.fromiter(map(self.known.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
+        missing = np.flatnonzero(number < 0).tolist()
+        if missing:
+            new = list(dict.fromkeys(flat[i] for i in missing))
+            if len(self.known) + len(new) > CACHE:
+                self._forget()
+                new, missing = list(dict.fromkeys(flat)), range(len(flat))
+            self.learn(new)
+            number[missing] = [self.known[flat[i]] for i in missing]
+        n = self.count[number]
+        ends = np.cumsum(n)
+        ids = self.ids[np.repeat(self.start[number] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        places = np.concatenate([[0], np.cumsum([len(x) for x in pieces])]).astype(np.int64)
+        return ids, np.concatenate([[0], ends])[places]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        pieces = [self.pattern.findall(t) if t else [] for t in texts]
-        every = dict.fromkeys(p for x in pieces for p in x)
-        new = [p for p in every if p not in self.known]
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = list(every)
-        self.learn(new)
-        none = np.zeros(0, dtype=np.int32)
-        return [np.concatenate(list(map(self.known.__getitem__, x))) if x else none for x in pieces]
+        ids, places = self.encode_all(texts)
+        return [ids[a:b] for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True)]
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of all ids in a row."""
@@ -207,9 +232,7 @@ def encode(docs: DataFrame, ranks: str, *, text: str = "text", decoded: bool = F
             while row < len(batch):
                 end = max(row + 1, int(np.searchsorted(sizes, (sizes[row - 1] if row else 0) + BLOCK, side="right")))
                 some = batch.slice(row, end - row)
-                ids = own.encode(some.column(at).to_pylist())
-                places = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
-                flat = np.concatenate(ids)
+                flat, places = own.encode_all(some.column(at).to_pylist())
                 columns = [pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), pa.array(flat))]
                 if decoded:
                     columns.append(pa.array(own.split(flat, places), pa.binary()))
