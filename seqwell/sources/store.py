@@ -1,9 +1,10 @@
 """Stores: named variables, their piece tables in versioned manifests, transactions over them.
 
 A store is a folder: ``data/<variable id>/<file>`` are Parquet tables (fpos, elem) that never change, ``manifests/v<N>.json``
-are the versions. A version is published by creating its file, which fails if another writer was first; until then nothing
-of a transaction can be seen, so a crash leaves at most files that no version names, which `vacuum` removes. There is no log
-to replay when a store is opened.
+are the versions: of each variable its type, length and the file of its pieces, ``pieces/<file>.json``, which a commit writes
+only for variables that it changes. A version is published by creating its file, which fails if another writer was first;
+until then nothing of a transaction can be seen, so a crash leaves at most files that no version names, which `vacuum`
+removes. There is no log to replay when a store is opened.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ SPLIT = 64
 #: Pieces of a sequence from which on small neighbours are merged at commit.
 COMPACT = 256
 LONGEST_NAME = 9_999
+#: Lists of pieces that a store holds, once read.
+KEPT = 64
 #: The file that notes a version every so many ones, so that opening a store does not list them all.
 NOTED, EVERY = "noted", 16
 
@@ -44,6 +47,7 @@ class Store:
         self.path = self.root.path
         self.manifests = Folder(spark, f"{self.path}/manifests")
         self.manifests.make()
+        self._read: dict[str, list[list]] = {}
         self.last_error: str | None = None
         if not self.versions():
             self.manifests.put_new("v000000000000.json", json.dumps({"version": 0, "note": "create", "variables": {}, "streams": {}}))
@@ -83,6 +87,16 @@ class Store:
         version = self.latest() if version is None else version
         return json.loads(self.manifests.read(f"v{version:012d}.json"))
 
+    def pieces(self, entry: dict | None) -> list[list]:
+        """The pieces of a variable's entry: inline while a transaction changes them, else in a file that never changes."""
+        if entry is None or "pieces" in entry or entry["at"] is None:
+            return [] if entry is None else entry.get("pieces", [])
+        if entry["at"] not in self._read:
+            if len(self._read) >= KEPT:
+                self._read.clear()
+            self._read[entry["at"]] = json.loads(self.root.read(f"pieces/{entry['at']}"))
+        return self._read[entry["at"]]
+
     def history(self) -> list[tuple[int, str]]:
         """(version, what it did) of every version kept."""
         return [(v, self.manifest(v)["note"]) for v in self.versions()]
@@ -127,7 +141,12 @@ class Store:
         versions = self.versions()
         for v in versions[: -max(1, keep)]:
             self.manifests.delete(f"v{v:012d}.json")
-        named = {p[0] for v in self.versions() for x in self.manifest(v)["variables"].values() for p in x["pieces"]}
+        entries = [x for v in self.versions() for x in self.manifest(v)["variables"].values()]
+        kept = {x["at"] for x in entries}
+        named = {p[0] for x in {x["at"]: x for x in entries}.values() for p in self.pieces(x)}
+        for f in self.root.names("pieces"):
+            if f not in kept:
+                self.root.delete(f"pieces/{f}")
         data = Folder(self.spark, f"{self.path}/data")
         gone = [f"{d}/{f}" for d in data.names() for f in data.names(d) if f"{d}/{f}" not in named]
         for f in gone:
@@ -184,6 +203,12 @@ class Transaction:
         self.ended = True
         if not self.notes:
             return self.base["version"]
+        for entry in self.state["variables"].values():
+            if "pieces" in entry:
+                rows = entry.pop("pieces")
+                entry["length"], entry["at"] = sum(p[2] for p in rows), f"{uuid.uuid4().hex}.json" if rows else None
+                if rows:
+                    self.store.root.put(f"pieces/{entry['at']}", json.dumps(rows))
         base, state = self.base, self.state
         while True:
             state = state | {"version": base["version"] + 1, "note": "; ".join(self.notes)}
@@ -212,7 +237,7 @@ class Transaction:
             raise NoSuchVariableError(name) from None
 
     def _pieces(self, name: str) -> Pieces:
-        return Pieces.load(self._entry(name)["pieces"])
+        return Pieces.load(self.store.pieces(self._entry(name)))
 
     def _set(self, name: str, pieces: Pieces, note: str) -> None:
         self._changing()
@@ -253,7 +278,8 @@ class Transaction:
         return Variable(self, name)
 
     def length(self, name: str) -> int:
-        return len(self._pieces(name))
+        entry = self._entry(name)
+        return sum(p[2] for p in entry["pieces"]) if "pieces" in entry else entry["length"]
 
     def size(self, name: str) -> int:
         """Bytes of the packed form."""

@@ -66,9 +66,6 @@ def follow(store: Store, name: str, each: Callable[[DataFrame, int], None], *, c
     spark = store.spark
     versions = _versions(store)
 
-    def length(manifest: dict) -> int:
-        return sum(p[2] for p in manifest["variables"].get(name, {"pieces": []})["pieces"])
-
     def batch(files: DataFrame, number: int) -> None:
         # of the new versions the least and the greatest, by the names of their files
         low, high = files.agg(F.min("version"), F.max("version")).first()
@@ -76,10 +73,10 @@ def follow(store: Store, name: str, each: Callable[[DataFrame, int], None], *, c
             return
         first, last = store.manifest(low), store.manifest(high)
         before = store.manifest(first["version"] - 1) if first["version"] else {"variables": {}}
-        old, new = before["variables"].get(name, {"pieces": []}), last["variables"].get(name, {"pieces": []})
-        if new["pieces"][: len(old["pieces"])] != old["pieces"]:
+        old, new = (store.pieces(m["variables"].get(name)) for m in (before, last))
+        if new[: len(old)] != old:
             raise InvalidArgumentError(f"{name} was changed before its end; a follower needs a variable that only grows")
-        a, b = length(before), length(last)
+        a, b = (sum(p[2] for p in x) for x in (old, new))
         # the first element of the pattern at or after a
         skip = max(0, -(-(a - start) // stride))
         rows = store.at(last["version"]).read(name, start + skip * stride, stride)

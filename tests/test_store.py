@@ -176,3 +176,65 @@ def test_language_on_a_store(store):
     done = execute(store, "create v i32; insert v 0 3; nonsense; read v 0:3:2; insert w 0 1; take v 0:1; read v; remove v; read v;", {"v": [5, 6, 7, 8]})
     assert [d.error is not None for d in done] == [False, False, True, False, True, False, False, False, False]
     assert [[r.elem for r in d.value.orderBy("pos").collect()] for d in (done[3], done[6], done[8])] == [[5, 7], [6, 7], []]
+
+
+def test_writes_through_accessors(store):
+    v = store.create("n", "struct { id u32, packets [3] struct { payload [4] i16, crc u32 }, u union { a i64, b [2] f32 } }")
+    packet = lambda k: {"payload": [k, k + 1, k + 2, k + 3], "crc": k}
+    one = lambda i: {"id": i, "packets": [packet(10 * i + k) for k in range(3)], "u": {"a": i} if i % 2 else {"b": [float(i), 0.0]}}
+    v.append([one(i) for i in range(6)])
+    want = [r.elem.asDict(recursive=True) for r in v[:].orderBy("pos").collect()]
+
+    def check(accessor, data, offset, stride, put):
+        v.write(data, offset, stride, accessor=accessor)
+        for i, x in enumerate(data):
+            put(want[offset + i * stride], x)
+        assert [r.elem.asDict(recursive=True) for r in v[:].orderBy("pos").collect()] == want, accessor
+
+    check("id", [70, 71], 1, 2, lambda e, x: e.update(id=x))
+    check("packets[1:].crc", [[8, 9], [6, 5]], 0, 3, lambda e, x: [e["packets"][1 + k].update(crc=y) for k, y in enumerate(x)])
+    # as many as are given; and ranges inside of ranges
+    check("packets[0:3:2].payload[1:4:2]", [[[1, 2], [3, 4]], [[5, 6]]], 2, 1, lambda e, x: [e["packets"][2 * k]["payload"].__setitem__(slice(1, 4, 2), y) for k, y in enumerate(x)])
+    check("u.a", [5, 6], 4, 1, lambda e, x: e.update(u={"_tag": "a", "a": x, "b": None}))
+    # part of a variant is written only where that is set
+    v.write([[1.5], [2.5]], 2, 1, accessor="u.b[1:]")
+    want[2]["u"]["b"][1] = 1.5
+    assert [r.elem.asDict(recursive=True) for r in v[:].orderBy("pos").collect()] == want
+    (done,) = execute(store, "write n.packets[0:1].crc 0:2;", {"n": [[1], [2]]})
+    assert done.value == 2 and [r.elem.packets[0].crc for r in v[0:2].orderBy("pos").collect()] == [1, 2]
+    with pytest.raises(Exception, match="out of the range"):
+        v.write([-1], 0, accessor="id")
+
+
+def test_names_of_repeated_fields(store):
+    from seqwell.operators import accessors
+
+    v = store.create("r", "struct { a_b i32, p struct { a_b i32, q struct { a_b i32 } } }")
+    v.append([{"a_b": 1, "p": {"a_b": 2, "q": {"a_b": 3}}}])
+    out = accessors.select(v[:], "a_b", "p.a_b", "p.q.a_b", "a_b")
+    assert out.first().elem.asDict() == {"a_b": 1, "a_b_2": 2, "a_b_3": 3, "a_b_4": 1}
+
+
+def test_files_of_a_table_are_apart_and_sources_checked(store):
+    v = store.create("f", "i64")
+    rows = store.spark.range(2000).selectExpr("(id * 7) % 2000 AS pos", "id AS elem").repartition(5)
+    v.append(rows)
+    file = store.begin()._pieces("f").pieces[0].file
+    _, apart = store.begin()._checked("f", f"{store.path}/data/{file}")
+    assert apart and v.values()[7] == 1 and len(store.root.names(f"data/{file.split('/')[0]}")) == 1
+    for bad in ("id", "CASE WHEN id = 3 THEN 2 ELSE id END", "id + 1", "id - 1"):
+        if bad != "id":
+            with pytest.raises(errors.InvalidArgumentError):
+                v.append(store.spark.range(70000).selectExpr(f"{bad} AS pos", "id AS elem"))
+    assert len(v) == 2000
+
+
+def test_many_versions_and_variables(store):
+    for i in range(20):
+        store.create(f"v{i}", "u8").append(bytes([i]))
+    assert store.latest() == max(store.versions()) == 40 and int(store.manifests.read("noted")) == 32
+    before = set(store.root.names("pieces"))
+    store.get("v3").append(b"xy")
+    assert len(set(store.root.names("pieces")) - before) == 1 and len(store.get("v3")) == 3 and store.get("v4").to_bytes() == b"\x04"
+    store.vacuum()
+    assert len(store.root.names("pieces")) == 20 and store.get("v3").to_bytes() == b"\x03xy"
