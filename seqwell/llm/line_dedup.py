@@ -40,7 +40,8 @@ def site_line_dedup(pages: DataFrame, *, site: str = "source", text: str = "text
     common = found.join(total, "_site").where(F.col("_n") * 100 > F.col("_pages") * percent)
     gone = common.groupBy("_site").agg(F.collect_list("_k").alias("_gone"))
 
-    every = max(1, pages.count())
+    # a power of two, so that plans differ in few numbers
+    every = 1 << max(0, pages.count() - 1).bit_length()
     hot = F.broadcast(total.where(F.col("_pages") * HOT >= every).select("_site", F.least("_pages", F.ceil(F.col("_pages") * HOT / every)).cast("int").alias("_tasks")))
     tasks = F.coalesce("_tasks", F.lit(1))
     copied = gone.join(hot, "_site", "left").select("_site", "_gone", F.explode(F.sequence(F.lit(0), tasks - 1)).alias("_at"))

@@ -233,13 +233,18 @@ def _ordered(percent: int):
     return tidy(run), "class long, size long, mass double, shared int, prefix int, segments array<struct<fragment:int,grams:array<long>>>"
 
 
+def _power(n: int) -> int:
+    """The power of two from n on. A number of its own in every plan would be compiled anew each time, and executors keep what is compiled."""
+    return 1 << max(0, n - 1).bit_length()
+
+
 def met(rows: DataFrame, other: DataFrame, key: str, by: Column | str, how: str = "inner") -> DataFrame:
     """`rows` joined on `key` with `other`. Rows of a hot key are dealt by `by` over several tasks, and what `other` has for it is copied to each.
 
     `rows` is read three times, so it should be a written table; hot keys are COMMON at most, and are broadcast."""
-    total = rows.count()
-    many = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") * COMMON >= max(1, total))
-    hot = F.broadcast(many.select(key, F.least("_n", F.ceil(F.col("_n") * COMMON / max(1, total))).cast("int").alias("_tasks")))
+    total = _power(rows.count())
+    many = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") * COMMON >= total)
+    hot = F.broadcast(many.select(key, F.least("_n", F.ceil(F.col("_n") * COMMON / total)).cast("int").alias("_tasks")))
     tasks = F.coalesce("_tasks", F.lit(1))
     dealt = rows.join(hot, key, "left").withColumn("_at", F.pmod(F.xxhash64(by, F.lit("task")), tasks).cast("int")).drop("_tasks")
     copied = other.join(hot, key, "left").withColumn("_at", F.explode(F.sequence(F.lit(0), tasks - 1))).drop("_tasks")
@@ -293,7 +298,7 @@ def _rounds(classes: DataFrame, percent: int, tables: shared.Tables) -> DataFram
     alike = (F.col("size_a") <= F.col("reach_b")) & (F.col("size_b") <= F.col("reach_a"))
     as_b = [F.col("class").alias("b"), F.col("size").alias("size_b"), F.col("reach").alias("reach_b")]
     pairs = keys.where("class <> a").select("a", "size_a", "reach_a", *as_b).where(alike).select("a", "b").distinct()
-    total, roots, leaders, before = max(1, keys.count()), None, LEADERS, 0
+    total, roots, leaders, before = _power(keys.count()), None, LEADERS, 0
     # a bucket's rows are dealt over tasks by its number of members, which both sides of a join know
     tasks = F.greatest(F.lit(1), F.ceil(F.col("n") * COMMON / total)).cast("int")
     dealt = F.pmod(F.xxhash64("class", F.lit("task")), tasks).cast("int").alias("at")
