@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from seqwell.llm import shared
-from seqwell.llm.words import SPACED, blocks, mixed, tidy, windows
+from seqwell.llm.words import SPACED, blocks, mixed, tidy, trimmed, windows
 
 #: An n-gram is common if one of so many texts has it, a key of a join hot if one of so many rows has it.
 COMMON = 500
@@ -162,30 +162,38 @@ _SHARED = pa.schema([("class", pa.int64()), ("size", pa.int64()), ("grams", pa.b
 
 
 def _counted(key: tuple, rows: pa.Table) -> pa.Table:
+    try:
+        return _count(key, rows)
+    finally:
+        trimmed()
+
+
+def _count(key: tuple, rows: pa.Table) -> pa.Table:
     """The n-grams of a task that several classes have, by class, each with its fragment: the power of two that its number of classes reaches."""
     common = key[0].as_py() < 0
     put = lambda c: [x.as_buffer() for x in rows.column(c)]
-    name = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in put("classes")])
-    size, count = (np.concatenate([_from_planes(x) for x in put(c)]).astype(np.int64) for c in ("sizes", "counts"))
-    gram = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in put("grams")])
-    del rows
-    # a class has one run in each row, and all of them are alike
-    once = np.zeros(len(name), dtype=bool)
-    once[np.unique(name, return_index=True)[1]] = True
-    if not once.all():
-        gram = gram[np.repeat(once, count)]
-        name, size, count = name[once], size[once], count[once]
+    names = [np.frombuffer(x, dtype=np.int64) for x in put("classes")]
+    sizes, counts = ([_from_planes(x).astype(np.int64) for x in put(c)] for c in ("sizes", "counts"))
+    # a class has one run in each row, and all of them are alike: the first one is kept
+    once = np.zeros(sum(map(len, names)), dtype=bool)
+    once[np.unique(np.concatenate(names), return_index=True)[1]] = True
+    kept = np.split(once, np.cumsum([len(x) for x in names])[:-1])
+    gram = np.concatenate([np.frombuffer(x, dtype=np.uint64)[np.repeat(k, c)] for x, k, c in zip(put("grams"), kept, counts, strict=True)])
+    name, size, count = (np.concatenate(x)[once] for x in (names, sizes, counts))
     if common:
         fragment = np.full(len(gram), LAST, dtype=np.uint8)
     else:
         order = np.argsort(gram)
         ranked = gram[order]
-        start = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        del ranked
-        classes = np.diff(np.concatenate([start, [len(gram)]]))
-        fragment = np.empty(len(gram), dtype=np.uint8)
+        same = np.concatenate([[False], ranked[1:] == ranked[:-1], [False]])
+        # most n-grams are of one class; the others, each with its number of classes
+        several = same[1:] | same[:-1]
+        order, ranked = order[several], ranked[several]
+        start = np.flatnonzero(~same[:-1][several])
+        classes = np.diff(np.concatenate([start, [len(ranked)]]))
+        fragment = np.zeros(len(gram), dtype=np.uint8)
         fragment[order] = np.repeat(np.frexp(classes - 0.5)[1].astype(np.uint8), classes)
-        del order
+        del order, ranked, several, same
         several = fragment > 0
         count = np.add.reduceat(several, np.cumsum(count) - count, dtype=np.int64)
         gram, fragment = gram[several], fragment[several]
@@ -204,7 +212,7 @@ def _ordered(percent: int):
     kinds = pa.schema([("class", pa.int64()), ("size", pa.int64()), ("mass", pa.float64()), ("shared", pa.int32()), ("prefix", pa.int32()), ("segments", pa.list_(segment))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, len(b), 1000)):
             out: tuple[list, ...] = ([], [], [], [], [])
             cut, of, lengths, grams = [0], [], [0], []
             for name, size, parts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):

@@ -42,6 +42,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def trimmed() -> None:
+    """Gives back memory that is no longer used."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not this C library
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """`run` for the batches of a partition, after which the worker gives back the memory it no longer uses: workers live on, beside those of later stages."""
 
@@ -49,12 +59,7 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (OSError, AttributeError):
-                pass  # not this C library
+            trimmed()
 
     return outer
 
