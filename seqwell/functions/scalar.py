@@ -82,7 +82,7 @@ class Value:
         if kind == "int":
             return Value(F.call_function("div", a, b), kind)
         if kind == "decimal":
-            by_zero = F.when((a == 0) | F.isnan(a.cast("double")), float("nan")).when(a > 0, float("inf")).otherwise(float("-inf"))
+            by_zero = F.when((a == 0) | F.isnan(a.cast("double")), float("nan")).when(a > 0, float("inf")).when(a < 0, float("-inf"))
             return Value(F.when(b == 0, by_zero).otherwise(F.try_divide(a, b)), kind)
         n = b["re"] * b["re"] + b["im"] * b["im"]
         return Value(_complex((a["re"] * b["re"] + a["im"] * b["im"]) / n, (a["im"] * b["re"] - a["re"] * b["im"]) / n), kind)
